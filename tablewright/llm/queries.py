@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tablewright.llm import packing, token_store
+from tablewright.llm import exact_dedup, mixing, packing, sharding, simhash, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +26,40 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id of every document: 3-word shingles, links at 2 or fewer differing bits."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"), words=3, most=2)
+
+
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document."""
+    return exact_dedup.duplicate_groups(_table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under law ``rows``; size and checksum are of the texts that arrive."""
+    placed = sharding.uniform_shards(_table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id", "text"], shards=8)
+    text = F.coalesce("text", F.lit(""))
+    return placed.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
+#: All rows and whole texts; ties between rows that agree in both are broken by nothing else, as doc_id is unique here.
+OP5_SQL = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY norm ORDER BY points DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_store, op2_packing)}
+    return {f.__name__: f for f in (op1_token_store, op2_packing, op3_simhash, op5_exact_dedup, op8_sharding, op9_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_exact_dedup": OP5_SQL}
