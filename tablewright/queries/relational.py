@@ -20,7 +20,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "filter_eq_literal": ("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'", ""),
     "filter_and_or": ("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' OR o_orderpriority = '1-URGENT' AND o_totalprice > 100000", ""),
     "filter_not": ("SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_totalprice < 50000)", ""),
-    "filter_like": ("SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%brass%'", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%brass%'"),
+    "filter_like": ("SELECT p_partkey, p_type FROM part WHERE p_type LIKE '%small%'", "SELECT p_partkey, p_type FROM part WHERE p_type ILIKE '%small%'"),
     "filter_not_like": ("SELECT p_partkey FROM part WHERE p_name NOT LIKE '%1%'", "SELECT p_partkey FROM part WHERE p_name NOT ILIKE '%1%'"),
     "filter_between": ("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity BETWEEN 10 AND 12", ""),
     "filter_not_between": ("SELECT p_partkey FROM part WHERE p_size NOT BETWEEN 5 AND 45", ""),
@@ -96,7 +96,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "select_distinct": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", ""),
     # additions: what Spark has beside the dialect
     "extra_intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", ""),
-    "extra_except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 0", ""),
+    "extra_except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000", ""),
     "extra_rollup": ("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)", ""),
     "extra_case": ("SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS class FROM part", ""),
     "extra_full_join": ("SELECT s.s_suppkey, n.n_nationkey FROM supplier s FULL JOIN nation n ON s.s_nationkey = n.n_nationkey AND s.s_acctbal > 5000", ""),
