@@ -96,18 +96,27 @@ def integral(mass: float, size: float) -> bool:
 
 
 def settle_few(rng, sizes: list[int], masses: list[float]) -> list[float]:
-    """The new masses of documents of unequal probabilities, longest first: all but one integral."""
+    """The new masses of documents of unequal probabilities: all but one integral.
+
+    The longest document that isn't settled moves against all others, which share its words by size p (1 - p), along one line
+    in a random direction up to the first that becomes integral; so the words stay and no probability is biased.
+    """
     size, mass = np.array(sizes, float), np.array(masses, float)
-    for k in range(len(size)):
-        if integral(mass[k], size[k]):
-            continue
-        rest, had = size[k + 1 :].sum(), mass[k + 1 :].sum()
-        mass[k], now = exchange(size[k], mass[k], rest, had, rng.random())
-        if now < had:
-            mass[k + 1 :] *= now / had
-        elif now > had:
-            mass[k + 1 :] = size[k + 1 :] - (size[k + 1 :] - mass[k + 1 :]) * ((rest - now) / (rest - had))
-    return mass.tolist()
+    while True:
+        p = np.where(size > 0, mass / np.maximum(size, 1e-300), 0.0)
+        free = np.flatnonzero((p > 1e-9) & (p < 1 - 1e-9))
+        if len(free) < 2:
+            return mass.tolist()
+        k, rest = free[0], free[1:]
+        share = size[rest] * p[rest] * (1 - p[rest])
+        share = share / share.sum()
+        up = min(size[k] - mass[k], (mass[rest] / share).min())
+        down = min(mass[k], ((size[rest] - mass[rest]) / share).min())
+        move = up if rng.random() * (up + down) < down else -down
+        mass[k] += move
+        mass[rest] -= move * share
+        near = np.isclose(mass, size, rtol=1e-9, atol=0)
+        mass = np.where(near, size, np.where(mass < 1e-9 * size, 0.0, mass))
 
 
 def _leaves(batches):

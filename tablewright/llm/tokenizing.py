@@ -27,6 +27,11 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + n) for n, b in enumerate(other)}
 
 
+def lowered(word: str) -> str:
+    """Composed, and lower-cased a character at a time."""
+    return "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+
+
 class Known(dict):
     """The ids of pieces; ``make`` gives those that are missing."""
 
@@ -77,23 +82,26 @@ class PieceEncoder:
         return b"".join(map(self.known.__getitem__, self.pieces(text))) if text else b""
 
     def new(self, piece: str) -> bytes:
-        if (piece[1:] if self.spaces and piece[:1] == " " else piece).isalpha():
+        if self.is_word(piece):
             return self.word_ids(piece)
         stem = piece.rstrip(APART)
-        if stem != piece and (stem[1:] if self.spaces and stem[:1] == " " else stem).isalpha():
+        if stem != piece and self.is_word(stem):
             return self.known[stem] + self.known[piece[len(stem) :]]
         return self.ids(piece)
 
+    def is_word(self, piece: str) -> bool:
+        """Whether a piece, but for a blank before it, stays letters only; a capital can become a letter and a mark."""
+        if self.spaces:
+            return (piece[1:] if piece[:1] == " " else piece).isalpha()
+        return piece.isalpha() and (piece.isascii() or lowered(piece).isalpha())
+
     def ids(self, piece: str) -> bytes:
         return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def word_ids(self, word: str) -> bytes:
         if not word.isascii():
             if not self.spaces:
-                lower = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
-                if not lower.isalpha():  # a letter that becomes a letter and a mark is cut
-                    return self.ids(word)
-                word = lower
+                word = lowered(word)
             word = word.encode().decode("latin-1").translate(self.letters)
         elif self.spaces:
             word = word.replace(" ", self.letters[32])
