@@ -14,19 +14,22 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter, defaultdict
+from array import array
+from collections import defaultdict
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import worker_cache, written
 
 #: Labelled rows of each class that the classifier is fitted on, by smallest hash of doc_id.
-TRAIN_ROWS = 1500
-ROUNDS = 90
+TRAIN_ROWS = 1000
+ROUNDS = 60
 RATE = 0.5
 PENALTY = 2e-4
 TAGGED = 0.5
@@ -42,19 +45,19 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(SEPARATORS).lower().split()
 
 
-def features_of(word: bytes) -> list[bytes]:
-    """The word, its prefixes of 4 to 6 bytes and its suffixes of 4 and 5."""
-    n = len(word)
-    return [b"=" + word, *(b"^" + word[:k] for k in (4, 5, 6) if n >= k), *(b"$" + word[-k:] for k in (4, 5) if n >= k)]
+def features_of(word: bytes) -> list[int]:
+    """64-bit hashes of the word, its prefixes of 4 to 6 bytes and its suffixes of 4 and 5; the word comes first."""
+    n, h = len(word), xxhash.xxh64_intdigest
+    return [h(word, 1), *(h(word[:k], 2) for k in (4, 5, 6) if n >= k), *(h(word[-k:], 3) for k in (4, 5) if n >= k)]
 
 
 @dataclass
 class Field:
     """Weights of the conditional random field and of the document score."""
 
-    own: dict[bytes, float] = field(default_factory=dict)
-    before: dict[bytes, float] = field(default_factory=dict)
-    after: dict[bytes, float] = field(default_factory=dict)
+    own: dict[int, float] = field(default_factory=dict)
+    before: dict[int, float] = field(default_factory=dict)
+    after: dict[int, float] = field(default_factory=dict)
     bias: float = -4.0
     start: float = 0.0
     #: Log potentials of the steps 0 -> 1 (in bias), 1 -> 0 and 1 -> 1.
@@ -130,14 +133,14 @@ def document_features(p: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np
     return top, np.log1p(np.add.reduceat(np.where(p >= TAGGED, p, 0.0), starts))
 
 
-def markers(documents: list[tuple[set[bytes], int]], rate: float) -> set[bytes]:
-    """Features that occur in toxic documents almost only, in more of them than chance gives any of the features tried."""
-    toxic, clean = Counter(), Counter()
-    for found, label in documents:
-        (toxic if label else clean).update(found)
-    tried = sum(n + clean[f] >= 4 for f, n in toxic.items()) + sum(n >= 4 for f, n in clean.items() if f not in toxic)
-    enough = np.log(max(tried, 1)) + 3
-    return {f for f, n in toxic.items() if n >= 4 and n >= 19 * clean[f] and n * np.log(n / (n + clean[f]) / max(rate, 1e-9)) >= enough}
+def markers(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
+    """Which features occur in toxic documents almost only, in more of them than chance gives any of the features tried.
+
+    ``toxic`` and ``clean``: documents of each class that hold a feature; ``rate``: the share of toxic documents.
+    """
+    enough = np.log(max(int((toxic + clean >= 4).sum()), 1)) + 5
+    share = np.maximum(toxic, 1) / np.maximum(toxic + clean, 1)
+    return (toxic >= 4) & (toxic >= 19 * clean) & (toxic * np.log(share / max(rate, 1e-9)) >= enough)
 
 
 def sketches(words: list[bytes]) -> list[int]:
@@ -146,38 +149,53 @@ def sketches(words: list[bytes]) -> list[int]:
     return [int(((h * np.uint64(m)) % np.uint64(4294967291)).min()) for m in (1, 2654435761, 2246822519, 3266489917)]
 
 
-def fit(rows: list[tuple[list[bytes], int]], shares: tuple[float, float]) -> Field:
-    """The field from (words, label) rows; ``shares``: how many rows of all labelled ones a row of each class stands for."""
-    labels = np.array([y for _, y in rows])
-    if not rows or not labels.any():
-        return Field()
+def fit(rows: Iterable[tuple[list[bytes], int]], shares: Callable[[int], float]) -> Field:
+    """The field from (words, label) rows, read once; ``shares``: labelled rows that a row of a class stands for.
+
+    Held at a time: a number for each token, the distinct words, and a number for each of their features.
+    """
     vocabulary: dict[bytes, int] = {}
-    tokens, starts, at = [], [], 0
-    for words, _ in rows:
+    tokens, starts, labels, kept, single = array("i"), [], [], [], []
+    seen: set[tuple] = set()
+    for words, y in rows:
         if words:
-            starts.append(at)
-            tokens.extend(vocabulary.setdefault(w, len(vocabulary)) for w in words)
-            at += len(words)
-    if not tokens:
+            starts.append(len(tokens))
+            kept.append(len(labels))
+            tokens.extend([vocabulary.setdefault(w, len(vocabulary)) for w in words])
+            # Near copies count once: documents that share two or more of four min-hashes with earlier ones of their class.
+            own = {(y, n, h) for n, h in enumerate(sketches(words))}
+            if len(own & seen) < 2:
+                single.append(len(starts) - 1)
+            seen |= own
+        labels.append(y)
+    labels = np.array(labels)
+    if not len(tokens) or not (labels == 1).any():
         return Field()
-    kept = [k for k, (words, _) in enumerate(rows) if words]
     names = list(vocabulary)
-    found = [features_of(w) for w in names]
-    # Near copies count once: documents that share two or more of four min-hashes with earlier ones of their class.
-    seen, single = set(), []
-    for words, y in rows:
-        own = {(y, n, h) for n, h in enumerate(sketches(words))}
-        if len(own & seen) < 2:
-            single.append(({f for w in set(words) for f in found[vocabulary[w]]}, y))
-        seen |= own
-    marked = markers(single, sum(y for _, y in single) / len(single))
-    spread = Counter(f for present, _ in single for f in present)
-    index = {f: k for k, f in enumerate(f for f, n in spread.items() if n >= (5 if f[:1] == b"=" else 3))}
-    none = len(index)
-    table = np.array([[*(index.get(f, none) for f in fs), *[none] * (6 - len(fs))] for fs in found])
-    beside = np.array([index.get(b"=" + w, none) for w in names])
-    tagged = np.array([any(f in marked for f in fs) for fs in found])
-    tokens, starts = np.array(tokens), np.array(starts)
+    hashes = np.zeros((len(names), 6), np.uint64)
+    for n, w in enumerate(names):
+        own = features_of(w)
+        hashes[n, : len(own)] = own
+    features, table = np.unique(hashes, return_inverse=True)
+    table = table.reshape(hashes.shape)
+    ends = [*starts[1:], len(tokens)]
+    tokens = np.frombuffer(tokens, np.int32)
+    toxic, clean = np.zeros(len(features)), np.zeros(len(features))
+    for n in single:
+        held = np.unique(table[np.unique(tokens[starts[n] : ends[n]])])
+        (toxic if labels[kept[n]] == 1 else clean)[held] += 1
+    toxic[features == 0] = clean[features == 0] = 0
+    marked = markers(toxic, clean, sum(labels[kept[n]] for n in single) / len(single))
+    tagged = marked[table].any(axis=1)
+    whole_word = np.zeros(len(features), bool)
+    whole_word[table[:, 0]] = True
+    used = (features != 0) & (toxic + clean >= np.where(whole_word, 5, 3))
+    index = np.cumsum(used) - 1
+    none = int(used.sum())
+    index[~used] = none
+    table, features = index[table], features[used]
+    beside = table[:, 0]
+    starts = np.array(starts)
     fresh = np.zeros(len(tokens), bool)
     fresh[starts] = True
     sizes = np.diff([*starts, len(tokens)])
@@ -214,12 +232,12 @@ def fit(rows: list[tuple[list[bytes], int]], shares: tuple[float, float]) -> Fie
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         w += RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
         w[[none, k + none, 2 * k + none]] = 0
-    keep = lambda part: {f: float(v) for f, v in zip(index, part, strict=False) if abs(v) > 0.05}
+    keep = lambda part: {int(features[n]): float(part[n]) for n in np.flatnonzero(np.abs(part[:none]) > 0.05)}
     crf = Field(keep(w[:k]), keep(w[k : 2 * k]), keep(w[2 * k : 3 * k]), *map(float, w[3 * k :]))
     p, _, _ = marginals(emissions(), fresh, crf)
-    top, mass = np.full(len(rows), -LIMIT), np.zeros(len(rows))
+    top, mass = np.full(len(labels), -LIMIT), np.zeros(len(labels))
     top[kept], mass[kept] = document_features(p, starts)
-    crf.document = _logistic(np.stack([top, mass, np.ones(len(rows))], axis=1), labels, np.where(labels == 1, shares[1], shares[0]))
+    crf.document = _logistic(np.stack([top, mass, np.ones(len(labels))], axis=1), labels, np.where(labels == 1, shares(1), shares(0)))
     return crf
 
 
@@ -253,8 +271,8 @@ class Scorer:
         self.known = Known()
 
     def row(self, word: bytes) -> int:
-        own, key = self.crf.own, b"=" + word
-        weights = (sum(own[f] for f in features_of(word) if f in own), self.crf.before.get(key, 0.0), self.crf.after.get(key, 0.0))
+        own, found = self.crf.own, features_of(word)
+        weights = (sum(own[f] for f in found if f in own), self.crf.before.get(found[0], 0.0), self.crf.after.get(found[0], 0.0))
         if weights not in self.rows:
             self.rows[weights] = len(self.rows)
             if len(self.rows) > len(self.table):
@@ -305,10 +323,9 @@ def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Fi
     order = F.xxhash64("doc_id")
     chosen = own.where("toxic = 1").orderBy(order, "doc_id").limit(most).unionByName(own.where("toxic = 0").orderBy(order, "doc_id").limit(most))
     sample = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = [(words_of(r["text"]), r["toxic"]) for r in written(sample, "toxicity-sample").orderBy("doc_id").toLocalIterator()]
     counts = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    used = Counter(y for _, y in rows)
-    return fit(rows, tuple(counts.get(y, 0) / max(1, used[y]) for y in (0, 1)))
+    rows = ((words_of(r["text"]), r["toxic"]) for r in written(sample, "toxicity-sample").sortWithinPartitions("doc_id").toLocalIterator())
+    return fit(rows, lambda y: counts.get(y, 0) / max(1, min(most, counts.get(y, 0))))
 
 
 def score(documents: DataFrame, crf: Field) -> DataFrame:
