@@ -55,6 +55,19 @@ class Engine:
         except KeyError:
             raise LookupError(f"no table {table} under label {label}") from None
 
+    def check(self) -> dict[str, str]:
+        """For each label, "" if all its tables can be planned, or else the first error; nothing is read."""
+        out = {}
+        for label, tables in self.sources.items():
+            out[label] = ""
+            for load in tables.values():
+                try:
+                    load().limit(0).schema  # noqa: B018
+                except Exception as e:  # any source's error
+                    out[label] = f"{type(e).__name__}: {str(e).splitlines()[0][:200]}"
+                    break
+        return out
+
     def _views(self, spark_tokens: list[dialect.Token], sql: str) -> dict[str, str]:
         """Makes the views that a statement needs: references, and bare names that one source has."""
         names = {}

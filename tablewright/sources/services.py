@@ -57,6 +57,30 @@ def read_prometheus(spark: SparkSession, base: str, promql: str) -> DataFrame:
     return _frame(spark, *prometheus_rows(fetch(f"{base.rstrip('/')}/api/v1/query?{urllib.parse.urlencode({'query': promql})}")))
 
 
+def prometheus_catalog(base: str, label: str = "prometheus") -> dict[str, list[tuple]]:
+    """Rows for the metadata tables: one table of label names and one of metrics."""
+    labels = fetch(f"{base.rstrip('/')}/api/v1/labels")["data"]
+    metrics = fetch(f"{base.rstrip('/')}/api/v1/label/__name__/values")["data"]
+    tables = [(label, "prometheus", "_labels", len(labels)), (label, "prometheus", "_metrics", len(metrics))]
+    columns = [(label, "prometheus", t, k, n, "string", True, None, False) for t, names in (("_labels", labels), ("_metrics", metrics)) for k, n in enumerate(names)]
+    return {"tables": tables, "columns": columns}
+
+
+def elastic_columns(mapping: dict, label: str = "elasticsearch") -> dict[str, list[tuple]]:
+    """Rows for the metadata tables from an index mapping; nested fields are named by their path."""
+    out: dict[str, list[tuple]] = {"tables": [], "columns": []}
+
+    def fields(properties: dict, before: str = ""):
+        for name, field in sorted(properties.items()):
+            yield f"{before}{name}", field.get("type", "object")
+            yield from fields(field.get("properties", {}), f"{before}{name}.")
+
+    for index, body in sorted(mapping.items()):
+        out["tables"].append((label, "elasticsearch", index, 0))
+        out["columns"] += [(label, "elasticsearch", index, k, n, t, True, None, False) for k, (n, t) in enumerate(fields(body["mappings"].get("properties", {})))]
+    return out
+
+
 def elastic_rows(answer: dict) -> tuple[list[str], list[tuple]]:
     """Rows of an SQL answer, or of search hits with ``_id`` first and nested values as JSON."""
     text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)
