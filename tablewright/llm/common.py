@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
 import uuid
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,21 @@ from pyspark.sql import functions as F
 #: The white space the contracts name: \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 
+BATCH_ROWS, BATCH_BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+_collecting: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The folders that operators make meanwhile."""
+    _collecting.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _collecting.remove(paths)
+
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder for one run below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
@@ -24,7 +40,10 @@ def work_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='tablewright-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for paths in _collecting:
+        paths.append(path)
+    return path
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
@@ -34,13 +53,45 @@ def written(df: DataFrame, name: str, compression: str = "zstd", partition_by: l
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an operator made."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what ``written`` has made, once nothing reads it any more."""
+    delete(df.sparkSession, df.written_at)
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, over all its tasks."""
+def worker_cache(user: str) -> dict:
+    """A dict that lives as long as the Python worker, over all its tasks, until another operator asks for one."""
     holder = sys.modules.setdefault("_tablewright_worker_cache", types.ModuleType("_tablewright_worker_cache"))
-    return holder.__dict__.setdefault("entries", {})
+    if holder.__dict__.get("user") != user:
+        holder.__dict__.update(user=user, entries={})
+    return holder.__dict__["entries"]
+
+
+def mapped(df: DataFrame, make, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches bounded in rows and bytes, each task giving back what earlier ones have left unused."""
+    spark = df.sparkSession
+    if int(spark.conf.get(BATCH_ROWS)) > 2000:
+        spark.conf.set(BATCH_ROWS, "2000")
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # Spark's own default
+        spark.conf.set(BATCH_BYTES, "16777216b")
+
+    def run(batches):
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+        yield from make(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def as_text(df: DataFrame, name: str) -> Column:
@@ -85,7 +136,7 @@ def map_rows(df: DataFrame, make, columns: list[str], ddl: str, size: int = 2000
     def run(batches):
         yield from batches_of(make(rows_of(batches, *columns)), arrow_schema(ddl), size, weight)
 
-    return df.select(*columns).mapInArrow(run, ddl)
+    return mapped(df.select(*columns), run, ddl)
 
 
 def local_forest(rows: Iterator[tuple]) -> Iterator[tuple]:
@@ -120,25 +171,20 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     mark = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # Written, so that the join below deals out both sides anew and Spark can split the edges of a hub.
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), name)
         large = both.join(least, "u").where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(down.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        edges = written(small.distinct(), name)
+        old, edges = edges, written(small.distinct(), name)
+        discard(old)
+        discard(least)
         now = tuple(edges.agg(F.count("*"), F.sum(F.col("a") % 1_000_003), F.sum(F.col("b") % 1_000_003), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
         if now == mark:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         mark = now
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conditions)
-
-
-def all_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x & y, conditions)
-
-
 def generator(*key: int) -> np.random.Generator:
     """A random generator that depends on ``key`` only, on any machine and in any task attempt."""
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([k & 0xFFFFFFFFFFFFFFFF for k in key])))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablewright.llm.common import BLANKS, arrow_schema, batches_of, rows_of, work_dir, written
+from tablewright.llm.common import BLANKS, arrow_schema, batches_of, mapped, rows_of, work_dir, written
 
 #: Representatives in a bucket before it is split.
 CAPACITY = 4096
@@ -127,7 +127,7 @@ def directory(counts: dict[int, int], bits: int, capacity: int) -> tuple[int, li
     return depth, slots
 
 
-def _owner(batches, text: str):
+def _owner(batches):
     """Index entries of one owner's representatives, which come in key order."""
     key, chains = None, []
 
@@ -153,8 +153,36 @@ def _owner(batches, text: str):
     yield from close()
 
 
-def _index(df: DataFrame, doc_id: str, text: str, members: bool, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """The log and the index entries (rep_id, keep_id, keep_row, group_size) of ``df``."""
+def _winners(batches):
+    """The best row (column row) of each distinct text of one owner's representatives, which come in key order."""
+    key, chains = None, []  # of each text: its bytes, the best rank, and the best row as (rows, place)
+    for batch in batches:
+        rows, done = batch.column("row"), []
+        for at, (now, points, doc_id, row_id, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "points", "doc_id", "row_id", "t")), strict=True)):
+            if now != key:
+                done += [c[2] for c in chains]
+                key, chains = now, []
+            content, rank = normalised(text), (-points, doc_id is None, doc_id or 0, row_id)
+            for c in chains:
+                if c[0] == content:
+                    if rank < c[1]:
+                        c[1:] = rank, (rows, at)
+                    break
+            else:
+                chains.append([content, rank, (rows, at)])
+        parts = [r for r, _ in done if r is not rows]
+        here = [at for r, at in done if r is rows]
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([*parts, rows.take(pa.array(here, pa.int64()))])], names=["row"])
+        for c in chains:  # don't hold on to the whole batch
+            if c[2][0] is rows:
+                c[2] = (rows.take(pa.array([c[2][1]])), 0)
+    if chains:
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([r.take(pa.array([at])) for *_, (r, at) in chains])], names=["row"])
+
+
+def _dealt(df: DataFrame, doc_id: str, text: str, members: bool, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """The log of ``df``, and its representatives dealt to their owners in key order."""
     spark = df.sparkSession
     columns = T.StructType([T.StructField(k, t) for k, t in (("kind", T.StringType()), ("doc_id", T.LongType()), ("rep_id", T.LongType()), ("row_id", T.LongType()), ("sha", T.StringType()), ("key", T.LongType()), ("points", T.LongType()), ("rows", T.LongType()))])
     source = df.select(df[doc_id].cast("long").alias("d"), df[text].cast("string").alias("t"), F.struct("*").alias("row"))
@@ -164,7 +192,7 @@ def _index(df: DataFrame, doc_id: str, text: str, members: bool, capacity: int)
         for made in _log(batches, members):
             yield pa.RecordBatch.from_pydict(made)
 
-    log = written(source.mapInArrow(run, schema), "dedup-log", partition_by=["kind"])
+    log = written(mapped(source, run, schema), "dedup-log", partition_by=["kind"])
     reps = log.where("kind = 'rep'")
     n = reps.count()
     bits = max(1, min(22, int(np.ceil(np.log2(max(n, 1) / capacity + 1))) + 4))
@@ -174,14 +202,9 @@ def _index(df: DataFrame, doc_id: str, text: str, members: bool, capacity: int)
     spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int").coalesce(1).write.parquet(path)
     slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
     owners = max(1, min(slots[-1] + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    placed = reps.select("rep_id", "key", "points", "doc_id", "row_id", "rows", F.col("row")[text].alias("t"), slot.alias("slot")).join(spark.read.schema("slot long, bucket int").parquet(path), "slot")
+    placed = reps.select("rep_id", "key", "points", "doc_id", "row_id", "rows", "row", slot.alias("slot")).join(F.broadcast(spark.read.schema("slot long, bucket int").parquet(path)), "slot")
     owned = placed.withColumn("owner", F.floor(F.col("bucket") * owners / (slots[-1] + 1)).cast("int")).repartitionById(owners, "owner").sortWithinPartitions("bucket", "key")
-    ddl = "rep_id bigint,keep_id bigint,keep_row bigint,group_size bigint"
-
-    def own(batches):
-        yield from batches_of(_owner(batches, text), arrow_schema(ddl))
-
-    return log, written(owned.select("rep_id", "key", "points", "doc_id", "row_id", "rows", "t").mapInArrow(own, ddl), "dedup-index")
+    return log, owned.select("rep_id", "key", "points", "doc_id", "row_id", "rows", F.col("row")[text].alias("t"), "row")
 
 
 def duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -190,13 +213,18 @@ def duplicate_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Texts are equal when identical without white space; null is empty. The row with the most code points stays, then the
     smallest doc_id (null last); of rows that tie in both, one stays. Other columns aren't read; an empty table gives no rows.
     """
-    log, index = _index(df.select(df[doc_id].alias("d_"), df[text].alias("t_")), "d_", "t_", True, capacity)
+    log, owned = _dealt(df.select(df[doc_id].alias("d_"), df[text].alias("t_")), "d_", "t_", True, capacity)
+    ddl = "rep_id bigint,keep_id bigint,keep_row bigint,group_size bigint"
+
+    def own(batches):
+        yield from batches_of(_owner(batches), arrow_schema(ddl))
+
+    index = written(mapped(owned.drop("row"), own, ddl), "dedup-index")
     members = log.where("kind = 'member'").select("doc_id", "rep_id", "row_id", "sha")
     return members.join(index, "rep_id").select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def unique_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """The rows of ``df``, all columns, that stay; ties, nulls and empty tables as in ``duplicate_groups``."""
-    log, index = _index(df, doc_id, text, False, capacity)
-    best = log.where("kind = 'rep'").join(index, "rep_id").where("row_id = keep_row")
-    return best.select("row.*")
+    _, owned = _dealt(df, doc_id, text, False, capacity)
+    return mapped(owned.select("key", "points", "doc_id", "row_id", "t", "row"), _winners, f"row {owned.schema['row'].dataType.simpleString()}").select("row.*")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import generator, map_rows, written
+from tablewright.llm.common import discard, generator, map_rows, mapped, written
 
 LEAF_ROWS = 8192
 FAN = 256
@@ -38,7 +38,7 @@ def word_sizes(df: DataFrame, text: str = "text") -> DataFrame:
             sizes = [len(x.encode().split()) if x else 0 for at in range(0, batch.num_rows, 512) for x in batch.column("t").slice(at, 512).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sizes, pa.int64())], names=["row", "size"])
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()},size bigint")
+    return mapped(source, run, f"row {source.schema['row'].dataType.simpleString()},size bigint")
 
 
 def targets(sizes: list[int], most: int = MOST_COPIES) -> list[float]:
@@ -157,7 +157,7 @@ def mix(sized: DataFrame, source: str, identity: list[str], most: int = MOST_COP
     placed = rows.repartition("position", "leaf").withColumn("leaf_size", whole).sortWithinPartitions("position", "leaf", F.desc("size"), "tie")
     row_type = sized.schema["row"].dataType.simpleString()
     ddl = f"row {row_type},size bigint,position int,leaf int,base bigint,source_size bigint,target double,copies bigint,mass double"
-    settled = written(placed.select(*LEAF_COLUMNS, "part", "leaf_size").mapInArrow(_leaves, ddl), "mixing")
+    settled = written(mapped(placed.select(*LEAF_COLUMNS, "part", "leaf_size"), _leaves, ddl), "mixing")
     out = ["row", "size", "source_size", "target"]
     left = settled.where("copies IS NULL")
     decided = _tree(left.select("position", F.col("leaf").alias("child"), "leaf", "size", "mass"), max((t[-1] for t in table), default=0))
@@ -193,11 +193,14 @@ def taken(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
     """(doc_id, size, source_size, target, taken) for every row of ``documents``."""
     narrow = word_sizes(documents.select(documents[doc_id].cast("long").alias("doc_id"), documents[source].alias("source"), documents[text].alias("text")))
     sized = written(narrow.select(F.struct("row.doc_id", "row.source").alias("row"), "size"), "mixing-sizes")
-    return mix(sized, "source", ["doc_id"]).select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    drawn = mix(sized, "source", ["doc_id"])
+    discard(sized)  # the mix has been settled and written
+    return drawn.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(documents: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each row of ``documents``, all columns, as many times as it is taken."""
     sized = written(word_sizes(documents, text), "mixing-sizes")
     drawn = mix(sized, source, documents.columns)
+    discard(sized)  # the mix has been settled and written
     return drawn.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("row.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import components, generator, map_rows, written
+from tablewright.llm.common import components, generator, map_rows, mapped, written
 
 SEED = 42
 SEGMENTS = 21
@@ -149,7 +149,7 @@ def unique_documents(documents: DataFrame, words: int = 5, similarity: float = 0
             made = [long_fingerprint(t, words) for at in range(0, batch.num_rows, 512) for t in batch.column("t").slice(at, 512).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.binary())], names=["row", "fp"])
 
-    rows = written(source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()},fp binary").withColumn("id", F.monotonically_increasing_id()), "near-rows")
+    rows = written(mapped(source, run, f"row {source.schema['row'].dataType.simpleString()},fp binary").withColumn("id", F.monotonically_increasing_id()), "near-rows")
     keyed = rows.select("id", "fp", F.col("row")[doc_id].cast("long").alias("d"))
     order = F.struct(F.col("d").isNull(), "d", "id")
     classes = written(keyed.groupBy("fp").agg(F.min(order).alias("best")).withColumn("node", F.monotonically_increasing_id()), "near-classes")
@@ -168,7 +168,7 @@ def unique_documents(documents: DataFrame, words: int = 5, similarity: float = 0
                 where = np.repeat(np.arange(part.num_rows), bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("node").take(pa.array(where)), part.column("fp").take(pa.array(where))], names=["point", "node", "fp"])
 
-    met = classes.select("node", "fp").mapInArrow(points, "point bigint,node bigint,fp binary")
+    met = mapped(classes.select("node", "fp"), points, "point bigint,node bigint,fp binary")
     longs = [F.conv(F.hex(F.substring("fp", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"f{k}") for k in range(LONG_BITS // 64)]
     met = met.select("point", "node", *longs)
     first = F.min(F.struct("node", *(f"f{k}" for k in range(LONG_BITS // 64)))).over(Window.partitionBy("point"))
@@ -178,4 +178,6 @@ def unique_documents(documents: DataFrame, words: int = 5, similarity: float = 0
     labelled = classes.join(roots, "node", "left").select("fp", "best", F.coalesce("root", "node").alias("root"))
     stays = labelled.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("id"))
     lone = keyed.where(F.col("fp") == F.lit(empty)).select("id")
-    return rows.join(stays.unionByName(lone).distinct(), "id", "left_semi").select("row.*")
+    gone = written(keyed.select("id").join(stays.unionByName(lone), "id", "left_anti"), "near-gone")
+    # One strategy at every size: what goes may grow with the input, so it isn't broadcast.
+    return rows.join(gone.hint("merge"), "id", "left_anti").select("row.*")

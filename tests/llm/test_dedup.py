@@ -43,7 +43,7 @@ def test_exact_chains_compare_bytes():
             at = ["rep_id", "key", "points", "doc_id", "row_id", "rows", "t"].index(name)
             return type("C", (), {"to_pylist": lambda _: [r[at] for r in rows]})()
 
-    got = {r[0]: r[1:] for r in exact_dedup._owner([Batch()], "t")}
+    got = {r[0]: r[1:] for r in exact_dedup._owner([Batch()])}
     assert got == {1: (9, 12, 3), 3: (9, 12, 3), 2: (11, 11, 1)}
 
 
@@ -88,7 +88,7 @@ def test_fingerprints():
 def test_links_are_complete(spark, segments):
     rng = np.random.default_rng(5)
     base = rng.integers(-(2**63), 2**63, 40)
-    flips = [int(b) ^ (sum(1 << int(k) for k in rng.choice(64, n, replace=False)) - (1 << 64) * 0) for b in base.tolist() for n in (1, 2, 2, 3, 4)]
+    flips = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, n, replace=False)) for b in base.tolist() for n in (1, 2, 2, 3, 4)]
     fps = sorted({int(np.uint64(x % 2**64).astype(np.int64)) for x in [*base.tolist(), *flips, 0, -1, 1, 3]})
     got = {tuple(r) for r in simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"), 2, segments).collect()}
     want = {(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= 2}
