@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import components, generator, local_forest, written
+from tablewright.llm.common import components, generator, local_forest, mapped, written
 
 WIDTH = 8
 AXES = 2
@@ -163,13 +163,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, width: int = WIDTH,
             raw = [None if not good else np.array(v, "<f8").tobytes() for good, v in zip(batch.column("fine").to_pylist(), batch.column("v").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(raw, pa.binary())], names=["vec_id", "label", "raw"])
 
-    rows = written(own.withColumn("fine", fine).mapInArrow(pack, "vec_id bigint,label string,raw binary").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = written(mapped(own.withColumn("fine", fine), pack, "vec_id bigint,label string,raw binary").withColumn("row", F.monotonically_increasing_id()), "vectors")
     classes = written(rows.where("raw IS NOT NULL").groupBy("label", "raw").agg(F.min("vec_id").alias("least"), F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
 
     def place(batches):
         yield from _place(batches, limit, width, seed)
 
-    placed = written(classes.select("node", "label", "raw").mapInArrow(place, "node bigint,label string,dim int,block int,cell string,home boolean"), "vector-cells")
+    placed = written(mapped(classes.select("node", "label", "raw"), place, "node bigint,label string,dim int,block int,cell string,home boolean"), "vector-cells")
     where = ["label", "dim", "block", "cell"]
     parts = placed.where("home").groupBy(*where).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     met = placed.join(parts, where)
@@ -184,7 +184,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, width: int = WIDTH,
             kind, a, b = zip(*held, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
 
-    found = written(dealt.select(*where, "part", "home", "node", "size", "raw").mapInArrow(verify, "kind string,a bigint,b bigint"), "vector-links")
+    found = written(mapped(dealt.select(*where, "part", "home", "node", "size", "raw"), verify, "kind string,a bigint,b bigint"), "vector-links")
     links = found.where("kind = 'links'").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("links"))
     roots = components(found.where("kind = 'edge'").select("a", "b"), "vector-components")
     named = classes.join(links, "node", "left").join(roots, "node", "left").select("node", "label", "raw", "least", (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tablewright.llm.common import rows_of, worker_cache
+from tablewright.llm.common import mapped, rows_of, worker_cache
 
 #: The base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -106,7 +106,7 @@ def scan(documents: DataFrame, notices: dict[str, str] | None = None, base: dict
     source = documents.select(documents["doc_id"].cast("long").alias("d"), documents["text"].cast("string").alias("t"))
 
     def run(batches):
-        cache, key = worker_cache(), ("notices", tuple(notices.items()), tuple(base.items()), per_edit)
+        cache, key = worker_cache("notices"), ("notices", tuple(notices.items()), tuple(base.items()), per_edit)
         finder = cache.get(key) or cache.setdefault(key, Finder(notices, base, per_edit))
         held = []
         for doc_id, text in rows_of(batches, "d", "t"):
@@ -132,4 +132,4 @@ def scan(documents: DataFrame, notices: dict[str, str] | None = None, base: dict
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kind.types, strict=True)], schema=kind)
 
-    return source.mapInArrow(run, "doc_id bigint,n_words bigint,n_base bigint,first_word bigint,last_word bigint,base_labels string,labels string,score double,matches array<struct<label:string,start:int,end:int,edits:int>>")
+    return mapped(source, run, "doc_id bigint,n_words bigint,n_base bigint,first_word bigint,last_word bigint,base_labels string,labels string,score double,matches array<struct<label:string,start:int,end:int,edits:int>>")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import as_text, rows_of, work_dir
+from tablewright.llm.common import as_text, mapped, rows_of, work_dir
 from tablewright.llm.tokenizing import encoder
 
 MOST = 1024
@@ -58,7 +58,7 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int, spaces: bool = True
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(held, PIECES.types, strict=True)], schema=PIECES)
 
     docs = documents.select(documents["doc_id"].cast("long").alias("d"), as_text(documents, "text").alias("t"))
-    pieces = docs.mapInArrow(run, "doc_id bigint,start bigint,length int,doc_tokens bigint,ids_crc32 bigint,ids binary")
+    pieces = mapped(docs, run, "doc_id bigint,start bigint,length int,doc_tokens bigint,ids_crc32 bigint,ids binary")
     pieces.withColumn("bucket", F.lpad(F.col("length").cast("string"), 10, "0")).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
     schema = "doc_id bigint,start bigint,length int,doc_tokens bigint,ids_crc32 bigint,ids binary,bucket string"
     stored = spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))

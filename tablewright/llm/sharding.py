@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import generator
+from tablewright.llm.common import generator, mapped
 
 #: Populations below which numpy draws hypergeometric variates.
 NUMPY_MOST = 900_000_000
@@ -120,7 +120,7 @@ def uniform_shards(df: DataFrame, identity: list[str], shards: int = 8, seed: in
                 taken += b - a
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("second"), pa.array(out)], names=["row", "second", "block"])
 
-    sent = local.select("row", "part", "second").mapInArrow(send, f"row {keyed.schema['row'].dataType.simpleString()},second bigint,block int")
+    sent = mapped(local.select("row", "part", "second"), send, f"row {keyed.schema['row'].dataType.simpleString()},second bigint,block int")
     window = Window.partitionBy("block").orderBy("second", F.xxhash64(F.lit(seed + 3), *(F.col("row")[c] for c in identity)))
     placed = sent.withColumn("at", F.row_number().over(window).cast("long") - 1)
     shard, sub = F.floor(F.col("block") / per_shard).cast("int"), F.col("block") % per_shard

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import as_text, rows_of, work_dir
+from tablewright.llm.common import as_text, mapped, rows_of, work_dir
 from tablewright.llm.tokenizing import encoder
 
 RANK_BITS = 512
@@ -105,7 +105,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int,
 
     docs = documents.select(documents[doc_id].cast("long").alias("d"), as_text(documents, text).alias("t"))
     ordered = docs.repartitionByRange("d").sortWithinPartitions("d", "t")
-    ordered.mapInArrow(run, SEGMENT_DDL).write.option("compression", "zstd").parquet(f"{path}/segments")
+    mapped(ordered, run, SEGMENT_DDL).write.option("compression", "zstd").parquet(f"{path}/segments")
     totals = spark.read.parquet(f"{path}/segments").groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
     bases = [0, *accumulate(r["n"] for r in totals)]
     spark.createDataFrame([(r["shard"], bases[k], r["n"]) for k, r in enumerate(totals)], "shard int, base long, n_tokens long").coalesce(1).write.parquet(f"{path}/manifest")
@@ -130,7 +130,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     to = min(at + 2000, len(doc_ids))
                     yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[at:to], pa.int64()), "start": pa.array([start + x for x in ends[at:to]], pa.int64()), "n_tokens": pa.array(counts[at:to], pa.int64()), "ids": pa.array([ids[ends[x] : ends[x + 1]].tobytes() for x in range(at, to)], pa.binary())})
 
-    return _segments_with_start(spark, path).select(*names).mapInArrow(run, "doc_id bigint,start bigint,n_tokens bigint,ids binary")
+    return mapped(_segments_with_start(spark, path).select(*names), run, "doc_id bigint,start bigint,n_tokens bigint,ids binary")
 
 
 def tokens_at(positions: DataFrame, path: str) -> DataFrame:
@@ -153,7 +153,7 @@ def tokens_at(positions: DataFrame, path: str) -> DataFrame:
                 levels, bitmaps, ranks, want = (batch.column(n)[k].as_py() for n in ("levels", "bitmaps", "ranks", "wanted"))
                 yield pa.RecordBatch.from_pydict({"position": pa.array([w["position"] for w in want], pa.int64()), "id": pa.array([dac_get(levels, bitmaps, ranks, w["at"]) for w in want], pa.int64())})
 
-    return segments.join(wanted, ["shard", "segment"]).select("levels", "bitmaps", "ranks", "wanted").mapInArrow(run, "position bigint,id bigint")
+    return mapped(segments.join(wanted, ["shard", "segment"]).select("levels", "bitmaps", "ranks", "wanted"), run, "position bigint,id bigint")
 
 
 def token_digests(documents: DataFrame, vocabulary: str, end_id: int, spaces: bool = False) -> DataFrame:

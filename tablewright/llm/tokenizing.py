@@ -14,7 +14,7 @@ from array import array
 from tablewright.llm.common import worker_cache
 
 #: Distinct pieces in each of the two generations that a worker keeps. A bound on memory only: others are encoded again.
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000
 #: Characters that are a piece of their own after a word of letters, alone or in a row.
 APART = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SAFE_BLANK = re.compile(r"(?<=\S)[ \n](?=\S)")
@@ -112,7 +112,7 @@ class PieceEncoder:
 
 def encoder(vocabulary: str, spaces: bool) -> PieceEncoder:
     """This worker's encoder."""
-    cache, key = worker_cache(), ("encoder", vocabulary, spaces)
+    cache, key = worker_cache("pieces"), ("encoder", vocabulary, spaces)
     if key not in cache:
         cache[key] = PieceEncoder(vocabulary, spaces)
     return cache[key]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import worker_cache, written
+from tablewright.llm.common import mapped, worker_cache, written
 
 #: Labelled rows of each class that the classifier is fitted on, by smallest hash of doc_id.
 TRAIN_ROWS = 1000
@@ -35,7 +35,7 @@ PENALTY = 2e-4
 TAGGED = 0.5
 LIMIT = 12.0
 WIDTH = 512
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 SEPARATORS = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
@@ -337,7 +337,7 @@ def score(documents: DataFrame, crf: Field) -> DataFrame:
     key = repr((sorted(crf.own.items())[:50], crf.bias, crf.document))
 
     def run(batches):
-        cache = worker_cache()
+        cache = worker_cache("toxicity")
         if cache.get("toxicity", (None,))[0] != key:
             cache["toxicity"] = (key, Scorer(crf))
         scorer = cache["toxicity"][1]
@@ -350,7 +350,7 @@ def score(documents: DataFrame, crf: Field) -> DataFrame:
                 spans += [[{"start": a, "end": b, "p": p} for a, b, p in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores, pa.float64()), pa.array(spans, kind)], names=["row", "score", "spans"])
 
-    return source.mapInArrow(run, f"row {source.schema['row'].dataType.simpleString()},score double,spans array<struct<start:int,end:int,p:double>>")
+    return mapped(source, run, f"row {source.schema['row'].dataType.simpleString()},score double,spans array<struct<start:int,end:int,p:double>>")
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
