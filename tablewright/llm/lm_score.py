@@ -1,8 +1,9 @@
 """Marginal document likelihood over a subword lattice.
 
-The vocabulary is an existing one; the weight of a piece is its log share among the pieces that the existing tokenizer cuts
-the training texts into. A word's probability sums over all ways to cut it into pieces: a log-space forward recursion over
-its lattice. Pieces never cross words, so a document's is the sum of its words' logs and that of the end.
+The vocabulary is an existing one; a piece's weight is its log share among the training texts' pieces, first as the existing
+tokenizer cuts them, then as expected over all ways to cut them (``ROUNDS`` forward-backward passes). A word's probability
+sums over all ways to cut it into pieces: a log-space forward recursion over its lattice. Pieces never cross words, so a
+document's is the sum of its words' logs and that of the end.
 
 No text meets a corpus-wide table. Scan tasks number the words of each block of documents and write documents as word
 numbers and one row for each distinct word of the block. Those rows meet on the word, where counts are summed and each
@@ -21,12 +22,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import worker_cache, written
+from tablewright.llm.common import mapped, worker_cache, written
 
 #: Bytes of text in a block; its distinct words are held by one task.
 BLOCK_BYTES = 32_000_000
 #: What is added to the count of every piece of the vocabulary.
 SMOOTHING = 0.1
+#: Forward-backward passes over the training words that weigh the pieces anew.
+ROUNDS = 2
 SPACE = "▁"
 LN10 = math.log(10)
 LOG_DDL = "kind string,block bigint,doc_id bigint,train boolean,ids binary,id int,word binary,c bigint"
@@ -91,9 +94,10 @@ class Lattice:
         own = {p: v for p, v in zip(pieces, logs, strict=True)}
         self.longest = max(map(len, own), default=1)
         self.bytes_at = bytes_at
-        pairs = sorted((self.key(p), v) for p, v in own.items())
-        self.keys = np.array([k for k, _ in pairs], np.uint64)
-        self.logs = np.array([v for _, v in pairs])
+        pairs = sorted((self.key(p), v, k) for k, (p, v) in enumerate(own.items()))
+        self.keys = np.array([k for k, _, _ in pairs], np.uint64)
+        self.logs = np.array([v for _, v, _ in pairs])
+        self.place = np.array([n for _, _, n in pairs])  # of a key among the pieces given
         self.chars: dict[int, float] = {}
 
     @classmethod
@@ -109,30 +113,46 @@ class Lattice:
             self.chars[code] = sum(self.bytes_at[b] for b in chr(code).encode("utf-8", "surrogatepass"))
         return self.chars[code]
 
-    def found(self, h: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[at] == h, self.logs[at], -np.inf)
-
-    def same_length(self, codes: np.ndarray) -> np.ndarray:
-        """Log probabilities of the words in the rows of ``codes`` (code points)."""
+    def edges(self, codes: np.ndarray):
+        """(i, j, rows, log, piece) of the lattices of the words in the rows of ``codes``; piece is -1 for bytes."""
         m, n = codes.shape
-        alpha = np.full((n + 1, m), -np.inf)
-        alpha[0] = 0.0
         steps = codes.astype(np.uint64) + np.uint64(1)
-        with np.errstate(over="ignore"):
-            for i in range(n):
-                h = np.zeros(m, np.uint64)
-                for j in range(i + 1, min(n, i + self.longest) + 1):
+        for i in range(n):
+            h = np.zeros(m, np.uint64)
+            for j in range(i + 1, min(n, i + self.longest) + 1):
+                with np.errstate(over="ignore"):
                     h = h * self.BASE + steps[:, j - 1]
-                    log = self.found(h)
-                    if j == i + 1 and (none := np.flatnonzero(np.isneginf(log))).size:
-                        log[none] = [self.by_bytes(c) for c in codes[none, i].tolist()]
-                    some = np.flatnonzero(log > -np.inf)
-                    if some.size:
-                        alpha[j, some] = np.logaddexp(alpha[j, some], alpha[i, some] + log[some])
+                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+                hit = self.keys[at] == h
+                rows = np.flatnonzero(hit)
+                if rows.size:
+                    yield i, j, rows, self.logs[at[rows]], self.place[at[rows]]
+                if j == i + 1 and rows.size < m:
+                    rows = np.flatnonzero(~hit)
+                    yield i, j, rows, np.array([self.by_bytes(c) for c in codes[rows, i].tolist()]), np.full(rows.size, -1)
+
+    def same_length(self, codes: np.ndarray, weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
+        """Log probabilities of the words in the rows of ``codes`` (code points); adds expected uses of pieces to ``counts``."""
+        m, n = codes.shape
+        alpha = np.full((n + 1, m), -np.inf)
+        alpha[0] = 0.0
+        held = []
+        for edge in self.edges(codes):
+            i, j, rows, log, _ = edge
+            alpha[j, rows] = np.logaddexp(alpha[j, rows], alpha[i, rows] + log)
+            if counts is not None:
+                held.append(edge)
+        if counts is not None:
+            beta = np.full((n + 1, m), -np.inf)
+            beta[n] = 0.0
+            for i, j, rows, log, piece in reversed(held):
+                through = log + beta[j, rows]
+                beta[i, rows] = np.logaddexp(beta[i, rows], through)
+                if piece[0] >= 0:
+                    np.add.at(counts, piece, weights[rows] * np.exp(alpha[i, rows] + through - alpha[n, rows]))
         return alpha[n]
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def __call__(self, words: list[str], weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
         out = np.empty(len(words))
         lengths = np.array([len(w) for w in words])
         order = np.argsort(lengths, kind="stable")
@@ -142,12 +162,12 @@ class Lattice:
             for at in range(a, b, max(1, 400_000 // (n + 1))):
                 rows = order[at : min(b, at + max(1, 400_000 // (n + 1)))]
                 codes = np.frombuffer("".join(words[k] for k in rows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), n)
-                out[rows] = self.same_length(codes)
+                out[rows] = self.same_length(codes, None if weights is None else weights[rows], counts)
         return out
 
 
 def _processor(model: str):
-    cache = worker_cache()
+    cache = worker_cache("lm")
     if ("pieces", model) not in cache:
         from sentencepiece import SentencePieceProcessor
 
@@ -172,11 +192,24 @@ def piece_counts(words: DataFrame, model: str) -> DataFrame:
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["piece", "n"])
 
-    return words.where("c > 0").select("word", "c").mapInArrow(run, "piece int,n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    return mapped(words.where("c > 0").select("word", "c"), run, "piece int,n double").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def expected_counts(words: DataFrame, parts, n: int) -> DataFrame:
+    """(at, n): expected uses of each of the lattice's ``n`` pieces over the words of the training rows; a task sends a row for each."""
+
+    def run(batches):
+        lattice, total = Lattice(*parts.value), np.zeros(n)
+        for batch in batches:
+            lattice([SPACE + w.decode() for w in batch.column("word").to_pylist()], batch.column("c").to_numpy().astype(float), total)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["at", "n"])
+
+    return mapped(words.where("c > 0").select("word", "c"), run, "at int,n double").groupBy("at").agg(F.sum("n").alias("n"))
 
 
-def lattice_of(model: str, counts: dict[int, float], ends: int) -> tuple[tuple, float]:
-    """What Lattice is made of, and the log probability of the end."""
+def lattice_of(model: str, counts: dict[int, float], ends: int) -> tuple[tuple, float, list[int]]:
+    """What Lattice is made of, the log probability of the end, and the vocabulary's id of each of the lattice's pieces."""
     sp = _processor(model)
     size = sp.get_piece_size()
     usable = [k for k in range(size) if not sp.is_control(k) and not sp.is_unknown(k)]
@@ -184,7 +217,7 @@ def lattice_of(model: str, counts: dict[int, float], ends: int) -> tuple[tuple,
     logs = {k: math.log((counts.get(k, 0.0) + SMOOTHING) / whole) for k in usable}
     bytes_at = {int(sp.id_to_piece(k)[3:5], 16): v for k, v in logs.items() if sp.is_byte(k)}
     text = [k for k in usable if not sp.is_byte(k) and SPACE not in sp.id_to_piece(k)[1:]]
-    return ([sp.id_to_piece(k) for k in text], [logs[k] for k in text], bytes_at), math.log((ends + 1) / whole)
+    return ([sp.id_to_piece(k) for k in text], [logs[k] for k in text], bytes_at), math.log((ends + 1) / whole), text
 
 
 def lm_scores(documents: DataFrame, model: str, of: int = 7, remainder: int = 2) -> DataFrame:
@@ -199,15 +232,22 @@ def lm_scores(documents: DataFrame, model: str, of: int = 7, remainder: int = 2)
     def number(batches):
         yield from _numbered(batches, of, remainder)
 
-    log = written(source.mapInArrow(number, LOG_DDL), "lm-log", partition_by=["kind"])
+    log = written(mapped(source, number, LOG_DDL), "lm-log", partition_by=["kind"])
     rows = log.where("kind = 'word'").select("block", "id", "word", "c")
     docs = log.where("kind = 'doc'").select("block", "doc_id", "train", "ids")
     words = written(rows.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     ends = docs.where("train").count()
     known, tokens = words.where("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
     n_all, n_distinct = tokens + ends, known + (ends > 0)
-    parts, end = lattice_of(model, {r["piece"]: r["n"] for r in piece_counts(words, model).collect()}, ends)
-    bound = documents.sparkSession.sparkContext.broadcast(parts)  # as large as the vocabulary
+    share = documents.sparkSession.sparkContext.broadcast  # of what is as large as the vocabulary
+    counts = {r["piece"]: r["n"] for r in piece_counts(words, model).collect()}
+    parts, end, ids = lattice_of(model, counts, ends)
+    bound = share(parts)
+    for _ in range(ROUNDS):
+        again = {ids[r["at"]]: r["n"] for r in expected_counts(words, bound, len(ids)).collect()}
+        again |= {k: v for k, v in counts.items() if _processor(model).is_byte(k)}  # bytes stay as first counted
+        parts, end, ids = lattice_of(model, again, ends)
+        bound = share(parts)
 
     def run_lattice(batches):
         lattice = Lattice(*bound.value)
@@ -215,7 +255,7 @@ def lm_scores(documents: DataFrame, model: str, of: int = 7, remainder: int = 2)
             logs = lattice([SPACE + w.decode() for w in batch.column("word").to_pylist()]) / LN10
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(logs)], names=["word", "c", "lp"])
 
-    priced = words.mapInArrow(run_lattice, "word binary,c bigint,lp double")
+    priced = mapped(words, run_lattice, "word binary,c bigint,lp double")
     back = rows.select("block", "id", "word").join(priced, "word").select("block", F.lit(0).alias("kind"), "id", "c", "lp", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("boolean").alias("train"), F.lit(None).cast("binary").alias("ids"))
     there = docs.select("block", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("id"), F.lit(None).cast("long").alias("c"), F.lit(None).cast("double").alias("lp"), "doc_id", "train", "ids")
     below = math.log10(n_all + n_distinct + 1)
@@ -249,4 +289,4 @@ def lm_scores(documents: DataFrame, model: str, of: int = 7, remainder: int = 2)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), held, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n_all] * len(out), pa.int64()), pa.array(base), pa.array(model_score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     met = back.unionByName(there).repartition("block").sortWithinPartitions("block", "kind", "id")
-    return met.mapInArrow(score, "doc_id bigint,held_out boolean,n_tokens bigint,n_known bigint,train_tokens bigint,base_score double,score double")
+    return mapped(met, score, "doc_id bigint,held_out boolean,n_tokens bigint,n_known bigint,train_tokens bigint,base_score double,score double")

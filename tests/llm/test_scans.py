@@ -131,6 +131,32 @@ def test_lattice_equals_enumeration():
     assert np.isfinite(got[6])
 
 
+def test_expected_pieces_equal_enumeration():
+    pieces = {"▁": 0.1, "▁a": 0.05, "a": 0.2, "b": 0.1, "ab": 0.07, "ba": 0.03}
+    names, counts = list(pieces), np.zeros(6)
+    lattice = lm_score.Lattice(names, [math.log(p) for p in pieces.values()], dict.fromkeys(range(256), math.log(0.001)))
+    words, weights = ["▁abab", "▁baab", "▁aéa"], np.array([2.0, 1.0, 3.0])
+    lattice(words, weights, counts)
+    want = np.zeros(6)
+
+    def cuts(word):
+        if not word:
+            yield 1.0, []
+        for k in range(1, len(word) + 1):
+            p = pieces.get(word[:k], 0.001**2 if word[:k] == "é" else 0)
+            if p:
+                for q, rest in cuts(word[k:]):
+                    yield p * q, [word[:k], *rest]
+
+    for w, c in zip(words, weights, strict=True):
+        total = sum(p for p, _ in cuts(w))
+        for p, found in cuts(w):
+            for x in found:
+                if x in pieces:
+                    want[names.index(x)] += c * p / total
+    assert counts == pytest.approx(want)
+
+
 def test_lm_base(spark, odd):
     rows = [(d, t or "") for d, t in odd.select("doc_id", "text").collect()]
     train = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2
