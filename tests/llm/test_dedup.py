@@ -152,3 +152,40 @@ def test_split_cells_lose_nothing(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "PART", 7)
     got = embedding_dedup.near_duplicates(df).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(59, 0)}
+
+
+def slow_left(rows, similarity=0.8):
+    """doc_ids that stay, by all pairs."""
+    sets = {}
+    for d, t in rows:
+        w = t.split()
+        sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    root = components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]))
+    return set(root.values())
+
+
+def test_near_copies_at_the_limit_at_any_size(spark):
+    """Pairs right above and below a similarity of 0.8 are told apart, however many other documents there are."""
+    rng = np.random.default_rng(8)
+    words = np.array([f"w{k}" for k in range(5000)])
+    rows = []
+    for k in range(200):
+        w = rng.choice(words, int(rng.integers(60, 200))).tolist()
+        rows.append((2 * k, " ".join(w)))
+        at = int(rng.integers(10, len(w) - 10))
+        w[at : at + int(len(w) * rng.uniform(0.02, 0.16))] = [f"n{k}"]
+        rows.append((2 * k + 1, " ".join(w)))
+    want = slow_left(rows)
+    assert 220 < len(want) < 380
+    for others in (0, 20_000):
+        more = [(1000 + k, " ".join(rng.choice(words, 12))) for k in range(others)]
+        left = {r.doc_id for r in simhash.unique_documents(spark.createDataFrame(rows + more, "doc_id long, text string")).collect()}
+        assert left == want | {d for d, _ in more}
+
+
+def test_parities_never_claim_too_many_differences():
+    rng = np.random.default_rng(10)
+    for _ in range(200):
+        x, y = (rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
+        x, y = np.unique(x), np.unique(y)
+        assert simhash.least_difference(simhash.parities(x), simhash.parities(y)) <= len(np.setxor1d(x, y))
