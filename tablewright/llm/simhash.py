@@ -254,6 +254,16 @@ def unique_documents(documents: DataFrame, words: int = 5, similarity: float = 0
     first = met.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb")).where("a != b").where(near).select("a", "b").distinct()
     tried = written(hopeful(first, classes, similarity), "near-tried")
     edges = linked(tried)
+    # Then every two of a bucket that aren't connected by that: no pair is left out, and none inside a group is made.
+    # A group's members stay in one row of a bucket until they meet another group's.
+    member = F.struct("node", "n", "short")
+    groups = met.join(components(edges, "near-groups"), "node", "left").groupBy("point", F.coalesce("root", "node").alias("root")).agg(F.collect_list(member).alias("of"))
+    left, right = groups.select("point", F.col("root").alias("ra"), F.col("of").alias("x")), groups.select("point", F.col("root").alias("rb"), F.col("of").alias("y"))
+    cross = left.join(right, "point").where("ra < rb").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
+    cross = cross.where("x.n <= y.n AND x.short OR y.n <= x.n AND y.short").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).where(near).select("a", "b").distinct()
+    more = written(hopeful(cross, classes, similarity).join(tried, ["a", "b"], "left_anti"), "near-tried")
+    if not more.isEmpty():
+        edges = edges.unionByName(linked(more))
     roots = components(edges, "near-links")
     keyed = rows.where("n > 0").select("id", "node", F.col("row")[doc_id].cast("long").alias("d"))
     labelled = keyed.join(roots, "node", "left").select("id", "d", F.coalesce("root", "node").alias("root"))

@@ -183,6 +183,25 @@ def test_near_copies_at_the_limit_at_any_size(spark):
         assert left == want | {d for d, _ in more}
 
 
+def test_near_copies_in_a_family_of_one_template(spark):
+    """Near copies among documents that share most passages with one another all meet."""
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{k}" for k in range(5000)])
+    template = rng.choice(words, 90).tolist()
+    texts = [template + rng.choice(words, 25).tolist() for _ in range(300)]  # some 0.6 alike
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    for k in range(100):
+        w = list(texts[3 * k])
+        w[95 + k % 8] = "changed"
+        rows.append((1000 + k, " ".join(w)))
+    chain = rng.choice(words, 100).tolist()  # neighbours are alike, the ends aren't
+    for k in range(8):
+        rows.append((2000 + k, " ".join(chain[6 * k :] + [f"c{n}" for n in range(6 * k)])))
+    left = {r.doc_id for r in simhash.unique_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert left == slow_left(rows)
+    assert not left & set(range(1000, 1100))
+
+
 def test_parities_never_claim_too_many_differences():
     rng = np.random.default_rng(10)
     for _ in range(200):
