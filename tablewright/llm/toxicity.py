@@ -29,7 +29,7 @@ from tablewright.llm.common import mapped, worker_cache, written
 
 #: Labelled rows of each class that the classifier is fitted on, by smallest hash of doc_id.
 TRAIN_ROWS = 1000
-ROUNDS = 60
+ROUNDS = 90
 RATE = 0.5
 PENALTY = 2e-4
 TAGGED = 0.5
@@ -138,7 +138,7 @@ def markers(toxic: np.ndarray, clean: np.ndarray, rate: float) -> np.ndarray:
 
     ``toxic`` and ``clean``: documents of each class that hold a feature; ``rate``: the share of toxic documents.
     """
-    enough = np.log(max(int((toxic + clean >= 4).sum()), 1)) + 5
+    enough = np.log(max(int((toxic + clean >= 4).sum()), 1)) + 3
     share = np.maximum(toxic, 1) / np.maximum(toxic + clean, 1)
     return (toxic >= 4) & (toxic >= 19 * clean) & (toxic * np.log(share / max(rate, 1e-9)) >= enough)
 

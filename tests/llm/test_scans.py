@@ -112,6 +112,14 @@ def test_toxicity_held_out(spark):
     assert toxicity.score_documents(documents.limit(0), marks).count() == 0
 
 
+def test_markers_of_rare_words():
+    """15 of 1000 toxic documents and no clean one mark a word among a thousand tried."""
+    toxic, clean = np.full(1000, 10.0), np.full(1000, 10.0)
+    toxic[0], clean[0] = 15, 0
+    assert np.flatnonzero(toxicity.markers(toxic, clean, 0.5)).tolist() == [0]
+    assert toxicity.ROUNDS == 90
+
+
 def slow_lattice(word, pieces, by_byte):
     if not word:
         return 1.0
