@@ -85,8 +85,12 @@ class Finder:
         out = {}
         for n, spans in windows.items():
             p, label, k = self.notices[n]
-            for low, high in spans:
-                for m in self.patterns[n].finditer(joined, low, min(high, len(joined))):
+            todo = [(low, min(high, len(joined))) for low, high in spans]
+            while todo:
+                low, high = todo.pop()
+                if m := self.patterns[n].search(joined, low, high):
+                    # The best match of a window may have others before and after it.
+                    todo += [(low, m.start()), (m.end(), high)]
                     if m.start() and joined[m.start() - 1] != " " or m.end() < len(joined) and joined[m.end()] != " ":
                         continue
                     edits = sum(m.fuzzy_counts)

@@ -61,6 +61,13 @@ def test_pigeonhole_finds_all_edits_within_bound():
             assert label in {x[2] for x in finder.fuzzy_places(f" before {text} after ")}, text
 
 
+def test_edited_notice_before_an_unchanged_one():
+    finder = licenses.Finder(licenses.NOTICES, licenses.BASE, licenses.CHARACTERS_PER_EDIT)
+    one, other = "gnu general public licence", "gnu general public license"
+    for parts, edits in (((one, other), [1, 0]), ((other, one), [0, 1]), ((one, one, other, one), [1, 1, 0, 1])):
+        assert [x[3] for x in sorted(finder.fuzzy_places(f" {' '.join(parts)} x ")) if x[2] == "gpl"] == edits
+
+
 def test_marginals_equal_enumeration():
     crf = toxicity.Field(start=-0.3, back=0.4, stay=0.9)
     e = np.array([0.5, -1.0, 2.0, 0.1, -0.7, 1.5])
