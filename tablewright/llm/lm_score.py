@@ -29,7 +29,7 @@ BLOCK_BYTES = 32_000_000
 #: What is added to the count of every piece of the vocabulary.
 SMOOTHING = 0.1
 #: Forward-backward passes over the training words that weigh the pieces anew.
-ROUNDS = 1
+ROUNDS = 2
 SPACE = "▁"
 LN10 = math.log(10)
 LOG_DDL = "kind string,block bigint,doc_id bigint,train boolean,ids binary,id int,word binary,c bigint"

@@ -172,6 +172,14 @@ def test_expected_pieces_equal_enumeration():
     assert counts == pytest.approx(want)
 
 
+def test_two_passes_weigh_the_pieces(spark, monkeypatch):
+    calls, plain = [], lm_score.expected_counts
+    monkeypatch.setattr(lm_score, "expected_counts", lambda *a: calls.append(1) or plain(*a))
+    df = spark.createDataFrame([(1, "some words of a text"), (3, "other words")], "doc_id long, text string")
+    assert lm_score.lm_scores(df, PIECES).count() == 2
+    assert len(calls) == 2
+
+
 def test_lm_base(spark, odd):
     rows = [(d, t or "") for d, t in odd.select("doc_id", "text").collect()]
     train = lambda d: zlib.crc32(b"" if d is None else str(d).encode()) % 7 != 2
