@@ -4,6 +4,9 @@ Format: a Parquet data set of segments and a manifest. A segment holds whole doc
 is split into 8-bit chunks, one level for each. Level k holds the k-th chunk of the ids that reach it; a bitmap beside it
 says which of them go on to level k + 1, and a rank directory holds the number of set bits before each block of 512 bits.
 Reading token i takes one byte and one rank per level (Brisaboa, Ladra, Navarro: "Directly Addressable Codes").
+
+Pages aren't compressed, so the bytes of a level lie in the file as they are. Row groups are small and carry the range of
+their segments, by which a reader skips those that hold none of the positions it looks for.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import as_text, mapped, rows_of, work_dir
@@ -21,7 +24,11 @@ from tablewright.llm.tokenizing import encoder
 
 RANK_BITS = 512
 #: A segment is closed once it has this many tokens; a longer document is a segment of its own.
-SEGMENT_TOKENS = 1 << 18
+SEGMENT_TOKENS = 1 << 16
+#: Bytes of a row group: some segments.
+GROUP_BYTES = 1 << 20
+#: Positions of one segment that one task looks up.
+LOOKUPS = 100_000
 SEGMENT_DDL = "shard int,segment int,start bigint,n_tokens bigint,first_id bigint,last_id bigint,doc_ids array<bigint>,doc_tokens array<bigint>,levels array<binary>,bitmaps array<binary>,ranks array<binary>"
 
 
@@ -68,7 +75,7 @@ def dac_get(levels: list[bytes], bitmaps: list[bytes], ranks: list[bytes], at: i
 
 def _segments(rows, vocabulary: str, end_id: int, spaces: bool):
     encode, end = encoder(vocabulary, spaces).encode, np.array([end_id], np.uint32).tobytes()
-    shard, segment, start = TaskContext.get().partitionId(), 0, 0
+    shard, segment, start, load = TaskContext.get().partitionId(), 0, 0, 0
     doc_ids, counts, parts = [], [], []
 
     def close():
@@ -78,12 +85,14 @@ def _segments(rows, vocabulary: str, end_id: int, spaces: bool):
 
     for doc_id, text in rows:
         ids = encode(text) + end
-        if counts and sum(counts) + len(ids) // 4 > SEGMENT_TOKENS:
+        n = len(ids) // 4
+        if counts and load + n > SEGMENT_TOKENS:
             yield close()
-            segment, start = segment + 1, start + sum(counts)
+            segment, start, load = segment + 1, start + load, 0
             doc_ids, counts, parts = [], [], []
+        load += n
         doc_ids.append(doc_id)
-        counts.append(len(ids) // 4)
+        counts.append(n)
         parts.append(ids)
     if counts:
         yield close()
@@ -93,8 +102,9 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int,
     """Writes the ids of every whole text, each document followed by ``end_id``, in ascending doc_id order below ``path``.
 
     Null texts are empty; null doc_ids come first; equal doc_ids are ordered by text; columns other than the two named
-    ones are not read; an empty table gives an empty file set. Documents are range-partitioned once, as texts; a task holds
-    one segment. The manifest has a row for each shard, so its size follows the number of tasks.
+    ones are not read; an empty table gives an empty file set. Documents are range-partitioned once, by doc_id and a hash of
+    the text, so many rows of one doc_id, or none, still lie in several shards; a task holds one segment. The manifest has a
+    row for each shard: the tokens before it.
     """
     spark = documents.sparkSession
     kind = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), *((n, pa.int64()) for n in ("start", "n_tokens", "first_id", "last_id")), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), *((n, pa.list_(pa.binary())) for n in ("levels", "bitmaps", "ranks"))])
@@ -104,63 +114,83 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int,
             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, row, strict=True))], schema=kind)
 
     docs = documents.select(documents[doc_id].cast("long").alias("d"), as_text(documents, text).alias("t"))
-    ordered = docs.repartitionByRange("d").sortWithinPartitions("d", "t")
-    mapped(ordered, run, SEGMENT_DDL).write.option("compression", "zstd").parquet(f"{path}/segments")
-    totals = spark.read.parquet(f"{path}/segments").groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
-    bases = [0, *accumulate(r["n"] for r in totals)]
-    spark.createDataFrame([(r["shard"], bases[k], r["n"]) for k, r in enumerate(totals)], "shard int, base long, n_tokens long").coalesce(1).write.parquet(f"{path}/manifest")
+    keyed = docs.withColumn("h", F.xxhash64("t"))
+    ordered = keyed.repartitionByRange("d", "h").sortWithinPartitions("d", "h", "t").select("d", "t")
+    mapped(ordered, run, SEGMENT_DDL).write.option("compression", "none").option("parquet.block.size", GROUP_BYTES).option("parquet.enable.dictionary", "false").parquet(f"{path}/segments")
+    totals = spark.read.schema(SEGMENT_DDL).parquet(f"{path}/segments").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"))
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals.select("shard", before.alias("base"), "n_tokens").write.parquet(f"{path}/manifest")
 
 
 def _segments_with_start(spark: SparkSession, path: str) -> DataFrame:
-    manifest = spark.read.parquet(f"{path}/manifest").select("shard", "base")
-    return spark.read.parquet(f"{path}/segments").join(F.broadcast(manifest), "shard").withColumn("start", F.col("base") + F.col("start"))
+    """The segments with the global place of their first token. The manifest joins as its size has it."""
+    manifest = spark.read.schema("shard int, base long, n_tokens long").parquet(f"{path}/manifest").select("shard", "base")
+    return spark.read.schema(SEGMENT_DDL).parquet(f"{path}/segments").join(manifest, "shard").withColumn("start", F.col("base") + F.col("start"))
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids: little-endian unsigned 32-bit) for every document, decoded from the files."""
-    names = ("start", "doc_ids", "doc_tokens", "levels", "bitmaps")
+    """(doc_id, start, n_tokens, ids: little-endian unsigned 32-bit, first_id) for every document, decoded from the files.
+
+    ``first_id`` is the document's first token, read by random access; that it isn't the decoded one is an error.
+    """
+    names = ("start", "doc_ids", "doc_tokens", "levels", "bitmaps", "ranks")
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                start, doc_ids, counts, levels, bitmaps = (batch.column(n)[k].as_py() for n in names)
+                start, doc_ids, counts, levels, bitmaps, ranks = (batch.column(n)[k].as_py() for n in names)
                 ids = dac_decode(levels, bitmaps)
                 ends = [0, *accumulate(counts)]
+                first = [dac_get(levels, bitmaps, ranks, at) for at in ends[:-1]]
+                if first != ids[ends[:-1]].tolist():
+                    raise ValueError("random access and decoding disagree")
                 for at in range(0, len(doc_ids), 2000):
                     to = min(at + 2000, len(doc_ids))
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[at:to], pa.int64()), "start": pa.array([start + x for x in ends[at:to]], pa.int64()), "n_tokens": pa.array(counts[at:to], pa.int64()), "ids": pa.array([ids[ends[x] : ends[x + 1]].tobytes() for x in range(at, to)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_ids[at:to], pa.int64()), "start": pa.array([start + x for x in ends[at:to]], pa.int64()), "n_tokens": pa.array(counts[at:to], pa.int64()), "ids": pa.array([ids[ends[x] : ends[x + 1]].tobytes() for x in range(at, to)], pa.binary()), "first_id": pa.array(first[at:to], pa.int64())})
 
-    return mapped(_segments_with_start(spark, path).select(*names), run, "doc_id bigint,start bigint,n_tokens bigint,ids binary")
+    return mapped(_segments_with_start(spark, path).select(*names), run, "doc_id bigint,start bigint,n_tokens bigint,ids binary,first_id bigint")
 
 
 def tokens_at(positions: DataFrame, path: str) -> DataFrame:
     """(position, id) for the global positions in ``positions`` (column position), by random access within their segments.
 
-    Positions are grouped by shard and segment through a join on the manifest's ranges; ids aren't decoded in a row.
-    Positions that no document covers give no row.
+    Positions find their segments by an equi-join on stretches of ``SEGMENT_TOKENS``, then meet them in a task: a segment
+    first, then its positions one after another, so neither is gathered. Many positions of one segment are dealt over several
+    tasks, each with the segment. Null positions, and those that no document covers, give no row; repeated ones a row each.
     """
-    spark = positions.sparkSession
-    manifest = F.broadcast(spark.read.parquet(f"{path}/manifest"))
-    placed = positions.select(F.col("position").cast("long").alias("position")).join(manifest, F.expr("position >= base AND position < base + n_tokens")).select("shard", "position", (F.col("position") - F.col("base")).alias("local"))
-    segments = spark.read.parquet(f"{path}/segments")
-    ranges = segments.select("shard", "segment", "start", "n_tokens")
-    found = placed.join(ranges, "shard").where("local >= start AND local < start + n_tokens").select("shard", "segment", "position", (F.col("local") - F.col("start")).alias("at"))
-    wanted = found.groupBy("shard", "segment").agg(F.collect_list(F.struct("position", "at")).alias("wanted"))
+    segments = _segments_with_start(positions.sparkSession, path).where("n_tokens > 0")
+    spans = segments.select("shard", "segment", "start", "n_tokens")
+    stretch = lambda c: F.floor(c / SEGMENT_TOKENS)
+    spread = spans.withColumn("stretch", F.explode(F.sequence(stretch(F.col("start")), stretch(F.col("start") + F.col("n_tokens") - 1))))
+    wanted = positions.select(F.col("position").cast("long").alias("position")).where("position >= 0").withColumn("stretch", stretch(F.col("position")))
+    found = wanted.join(spread, "stretch").where("position >= start AND position < start + n_tokens").select("shard", "segment", "position", (F.col("position") - F.col("start")).alias("at"))
+    parts = found.groupBy("shard", "segment").agg(F.ceil(F.count("*") / LOOKUPS).cast("int").alias("parts"))
+    empty = F.array().cast("array<binary>")
+    held = segments.join(parts, ["shard", "segment"]).select("shard", "segment", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("position"), F.lit(None).cast("long").alias("at"), "levels", "bitmaps", "ranks")
+    asked = found.join(parts, ["shard", "segment"]).select("shard", "segment", F.pmod(F.xxhash64("position"), "parts").cast("int").alias("part"), "position", "at", empty.alias("levels"), empty.alias("bitmaps"), empty.alias("ranks"))
+    key = ["shard", "segment", "part"]
+    met = held.unionByName(asked).repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("position"))
 
     def run(batches):
+        code = None
         for batch in batches:
-            for k in range(batch.num_rows):
-                levels, bitmaps, ranks, want = (batch.column(n)[k].as_py() for n in ("levels", "bitmaps", "ranks", "wanted"))
-                yield pa.RecordBatch.from_pydict({"position": pa.array([w["position"] for w in want], pa.int64()), "id": pa.array([dac_get(levels, bitmaps, ranks, w["at"]) for w in want], pa.int64())})
+            out, ids = [], []
+            for position, at, row in zip(batch.column("position").to_pylist(), batch.column("at").to_pylist(), range(batch.num_rows), strict=True):
+                if position is None:
+                    code = [batch.column(n)[row].as_py() for n in ("levels", "bitmaps", "ranks")]
+                else:
+                    out.append(position)
+                    ids.append(dac_get(*code, at))
+            yield pa.RecordBatch.from_pydict({"position": pa.array(out, pa.int64()), "id": pa.array(ids, pa.int64())})
 
-    return mapped(segments.join(wanted, ["shard", "segment"]).select("levels", "bitmaps", "ranks", "wanted"), run, "position bigint,id bigint")
+    return mapped(met.select(*key, "position", "at", "levels", "bitmaps", "ranks"), run, "position bigint,id bigint")
 
 
 def token_digests(documents: DataFrame, vocabulary: str, end_id: int, spaces: bool = False) -> DataFrame:
-    """Writes ``documents`` and returns (doc_id, start, n_tokens, ids_crc32) as the files hold them."""
+    """Writes ``documents`` and returns (doc_id, start, n_tokens, ids_crc32, first_id) as the files hold them."""
     path = work_dir(documents.sparkSession, "tokens")
     write_tokens(documents, path, vocabulary, end_id, spaces)
-    return read_tokens(documents.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_tokens(documents.sparkSession, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "first_id")
 
 
 __all__ = ["dac_decode", "dac_encode", "dac_get", "read_tokens", "token_digests", "tokens_at", "write_tokens"]

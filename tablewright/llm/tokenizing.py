@@ -1,7 +1,8 @@
 """Whole-text encoding with the tokenizers library, a piece between blanks at a time, each distinct piece once per worker.
 
 Both vocabularies cut a text before their merges at every blank that has other characters on both sides, so the ids of a
-text are the ids of its pieces in a row. A text in which a blank meets other white space is cut at the safe blanks only.
+text are the ids of its pieces in a row. A text in which a blank meets other white space is cut at the safe blanks only. A text
+that holds the string of a special token is encoded by the library as a whole, which makes it that token.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or "(?!)", re.I)
         self.tokenizer.model._resize_cache(0) if hasattr(self.tokenizer.model, "_resize_cache") else None
         self.word = self.tokenizer.model.tokenize  # the merges alone: for words of letters, which no earlier step cuts
         self.letters = byte_letters()
@@ -79,7 +80,9 @@ class PieceEncoder:
         return [*out, text[at:]]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.pieces(text))) if text else b""
+        if not text:
+            return b""
+        return self.ids(text) if self.special.search(text) else b"".join(map(self.known.__getitem__, self.pieces(text)))
 
     def new(self, piece: str) -> bytes:
         if self.is_word(piece):

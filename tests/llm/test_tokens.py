@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tablewright.llm import packing, token_store
@@ -18,7 +19,6 @@ WORDS, BYTES = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_b
 
 def whole(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -32,7 +32,7 @@ def test_pieces_equal_whole_texts(path, spaces):
         assert own.encode(text) == array("I", reference(text)).tobytes()
 
     check()
-    for text in ("<|endoftext|> a <|startoftext|>", "don't we'll I'VE", "a  b   c\n\n d ", "x" * 3000, "Straße ẞ ǅ ﬁ Å Ω"):
+    for text in ("<|endoftext|> a <|startoftext|>", "x<|endoftext|>y <|ENDOFTEXT|>  <|end", "<|startoftext|>", "don't we'll I'VE", "a  b   c\n\n d ", "x" * 3000, "Straße ẞ ǅ ﬁ Å Ω"):
         assert own.encode(text) == array("I", reference(text)).tobytes()
 
 
@@ -50,7 +50,7 @@ def test_store(spark, odd, tmp_path):
     path = f"file://{tmp_path}/tokens"
     token_store.write_tokens(odd, path, WORDS, end_id=2)
     got = sorted(token_store.read_tokens(spark, path).collect(), key=lambda r: r.start)
-    given_rows = sorted(((d, t or "") for d, t in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    given_rows = sorted(((d, t or "") for d, t in odd.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))  # equal doc_ids hold equal texts here
     ids = [[*reference(t), 2] for _, t in given_rows]
     assert [r.doc_id for r in got] == [d for d, _ in given_rows]
     assert [r.ids for r in got] == [array("I", x).tobytes() for x in ids]
@@ -60,6 +60,25 @@ def test_store(spark, odd, tmp_path):
     assert sorted(map(tuple, token_store.tokens_at(positions, path).collect())) == sorted((k, flat[k]) for k in (0, 5, 30, len(flat) - 1))
 
 
+def test_many_empty_documents_and_lookups(spark, tmp_path):
+    path = f"file://{tmp_path}/tokens"
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    token_store.write_tokens(docs, path, WORDS, end_id=2)
+    assert token_store.read_tokens(spark, path).agg(F.sum("n_tokens"), F.max("start"), F.max("first_id")).first() == (200_000, 199_999, 2)
+    wanted = spark.range(0, 200_010, 1).select(F.col("id").alias("position"))
+    assert token_store.tokens_at(wanted, path).agg(F.count("*"), F.sum("id")).first() == (200_000, 400_000)
+
+
+def test_long_document(spark, tmp_path):
+    path, text = f"file://{tmp_path}/tokens", " ".join(f"w{k} 上é{k % 7}" for k in range(80_000))
+    token_store.write_tokens(spark.createDataFrame([(1, "a b"), (2, text), (3, "c")], "doc_id long, text string"), path, WORDS, end_id=2)
+    flat = [k for t in ("a b", text, "c") for k in (*whole(WORDS)(t), 2)]
+    assert len(flat) > 3 * token_store.SEGMENT_TOKENS
+    at = [*range(0, len(flat), 4999), len(flat) - 1]
+    got = token_store.tokens_at(spark.createDataFrame([(k,) for k in at], "position long"), path).collect()
+    assert sorted(map(tuple, got)) == [(k, flat[k]) for k in at]
+
+
 def test_store_empty(spark, odd):
     assert token_store.token_digests(odd.limit(0), WORDS, 2).count() == 0
 
@@ -76,7 +95,10 @@ def test_binary_lengths():
 def test_packing(spark, odd):
     reference = whole(BYTES)
     got = packing.pack(odd, BYTES, end_id=0).collect()
-    assert len({r.sequence_id for r in got}) == len(got)
+    assert sorted(r.sequence_id for r in got) == list(range(len(got)))
+    lengths = [r.length for r in sorted(got, key=lambda r: r.sequence_id)]
+    assert lengths == sorted(lengths)
+    assert {(r.doc_id, r.start, r.length, r.sequence_id) for r in packing.pack(odd, BYTES, end_id=0).collect()} == {(r.doc_id, r.start, r.length, r.sequence_id) for r in got}
     assert {r.offset for r in got} == {0}
     documents = {}
     for r in got:
