@@ -7,10 +7,12 @@ et al., "Dataset Decomposition"). A piece is a sequence by itself, so no sequenc
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import as_text, mapped, rows_of, work_dir
@@ -24,7 +26,8 @@ def binary_lengths(n: int, most: int = MOST) -> list[int]:
     return [most] * (n // most) + [1 << k for k in reversed(range(most.bit_length() - 1)) if n % most >> k & 1]
 
 
-PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())])
+PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("doc_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary()), ("task", pa.int32()), ("place", pa.int64())])
+PIECES_DDL = "doc_id bigint,start bigint,length int,doc_tokens bigint,ids_crc32 bigint,ids binary,task int,place bigint"
 
 
 def pack(documents: DataFrame, vocabulary: str, end_id: int, spaces: bool = True, most: int = MOST, path: str | None = None) -> DataFrame:
@@ -32,23 +35,26 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int, spaces: bool = True
 
     Columns: doc_id, start (in the document), length, doc_tokens, ids_crc32, ids (little-endian unsigned 16-bit, or 32-bit
     for larger vocabularies), sequence_id, offset. Null texts are empty and give the end id alone; null and repeated doc_ids
-    are kept, a row each; other columns aren't read; an empty table gives no sequences. A sequence_id numbers the rows of the
-    files in order: buckets by length, then files, then rows. Texts are never shuffled; a task holds one batch.
+    are kept, a row each; other columns aren't read; an empty table gives no sequences. Sequences are numbered by length, then
+    scan task, then place in the task's output, so reruns over the same files agree. Tasks count their own sequences of each
+    length; a running sum over those counts, one key for each length, gives where each task's numbers begin. Texts are never
+    shuffled, nothing goes through the driver, and a task holds one batch.
     """
     spark = documents.sparkSession
     path = path or work_dir(spark, "packed")
 
     def run(batches):
         encode, end = encoder(vocabulary, spaces).encode, np.array([end_id], np.uint32).tobytes()
-        held, load = [[] for _ in PIECES], 0
+        held, load, task, places = [[] for _ in PIECES], 0, TaskContext.get().partitionId(), Counter()
         for doc_id, text in rows_of(batches, "d", "t"):
             raw = encode(text) + end
             ids = np.frombuffer(raw, np.uint32)
             small = ids.astype(np.uint16).tobytes() if ids.max() < 1 << 16 else raw
             wide, start = len(small) // len(ids), 0
             for length in binary_lengths(len(ids), most):
-                for column, value in zip(held, (doc_id, start, length, len(ids), zlib.crc32(raw[4 * start : 4 * (start + length)]), small[wide * start : wide * (start + length)]), strict=True):
+                for column, value in zip(held, (doc_id, start, length, len(ids), zlib.crc32(raw[4 * start : 4 * (start + length)]), small[wide * start : wide * (start + length)], task, places[length]), strict=True):
                     column.append(value)
+                places[length] += 1
                 start += length
             load += len(small)
             if load > 4_000_000:
@@ -58,19 +64,14 @@ def pack(documents: DataFrame, vocabulary: str, end_id: int, spaces: bool = True
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(held, PIECES.types, strict=True)], schema=PIECES)
 
     docs = documents.select(documents["doc_id"].cast("long").alias("d"), as_text(documents, "text").alias("t"))
-    pieces = mapped(docs, run, "doc_id bigint,start bigint,length int,doc_tokens bigint,ids_crc32 bigint,ids binary")
+    pieces = mapped(docs, run, PIECES_DDL)
     pieces.withColumn("bucket", F.lpad(F.col("length").cast("string"), 10, "0")).write.option("compression", "zstd").partitionBy("bucket").parquet(path)
-    schema = "doc_id bigint,start bigint,length int,doc_tokens bigint,ids_crc32 bigint,ids binary,bucket string"
-    stored = spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counts = stored.groupBy("_file").agg((F.max("_row") + 1).alias("n"))
-    return stored.join(_bases(counts), "_file").select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids_crc32", "ids", (F.col("_base") + F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-
-
-def _bases(counts: DataFrame) -> DataFrame:
-    """The rows in files before each file, by path; a row for each file, so the size follows the number of tasks."""
-    rows = counts.orderBy("_file").collect()
-    before = np.concatenate(([0], np.cumsum([r["n"] for r in rows]))).tolist()
-    return counts.sparkSession.createDataFrame([(r["_file"], before[k]) for k, r in enumerate(rows)], "_file string, _base long")
+    stored = spark.read.schema(f"{PIECES_DDL},bucket string").parquet(path)
+    per_task = stored.groupBy("length", "task").agg(F.count("*").alias("n"))
+    per_length = per_task.groupBy("length").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("length").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = per_task.withColumn("earlier", earlier).join(per_length.select("length", "before"), "length").select("length", "task", (F.col("before") + F.col("earlier")).alias("base"))
+    return stored.join(bases, ["length", "task"]).select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "ids_crc32", "ids", (F.col("base") + F.col("place")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
 
 
 def ids_of(packed: bytes, length: int) -> np.ndarray:
