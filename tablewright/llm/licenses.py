@@ -1,12 +1,16 @@
 """Fuzzy search for short licence notices: exact seeds by the pigeonhole principle, then bounded-error matching.
 
 A notice that may differ in k edits is cut into k + 1 seeds, one of which any such match holds unchanged. An Aho-Corasick
-automaton finds all seeds of all notices in one pass; around each, the regex library matches the notice with at most k
-errors and reports edits and span. All of it runs over a text's words, lower-cased and joined by single blanks.
+automaton finds all seeds of all notices in one pass. A seed leaves at most 2 k + 1 characters where its notice can start; at
+each word that starts there the regex library matches the notice with at most k errors, over a bounded stretch of text and once
+for each start, so a text costs in proportion to its length and its seeds. Of places of one notice that overlap the one with
+the fewest edits counts, then the first; a place inside one of a longer notice doesn't count. All of it runs over a text's
+words, lower-cased and joined by single blanks.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import ahocorasick
@@ -25,6 +29,11 @@ NOTICES = BASE | {
     "mozilla public license": "mpl",
     "creative commons attribution noncommercial": "cc-by-nc",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "gnu affero general public license": "agpl",
+    "eclipse public license": "epl",
+    "boost software license version": "bsl",
+    "free and unencumbered software released into the public domain": "unlicense",
     "redistribution and use in source and binary forms": "bsd",
     "permission is hereby granted free of charge": "mit",
 }
@@ -49,7 +58,7 @@ class Finder:
     def __init__(self, notices: dict[str, str], base: dict[str, str], per_edit: int):
         self.base = [(f" {p} ", label) for p, label in base.items()]
         self.notices = [(p, label, len(p) // per_edit) for p, label in notices.items()]
-        self.patterns = [regex.compile(rf"(?b)(?<!\S)(?:{regex.escape(p)}){{e<={k}}}(?!\S)") for p, _, k in self.notices]
+        self.patterns = [[regex.compile(rf"(?:{regex.escape(p)}){{e<={e}}}(?!\S)") for e in range(k + 1)] for p, _, k in self.notices]
         self.automaton = ahocorasick.Automaton()
         held: dict[str, list] = {}
         for n, (p, _, k) in enumerate(self.notices):
@@ -63,39 +72,67 @@ class Finder:
         """(first word, label) of each base phrase in ``joined`` (words between single blanks, blanks at both ends)."""
         out = []
         for phrase, label in self.base:
-            at = joined.find(phrase)
+            at, known, words = joined.find(phrase), 0, 0
             while at >= 0:
-                out.append((joined.count(" ", 0, at), label))
+                words, known = words + joined.count(" ", known, at), at
+                out.append((words, label))
                 at = joined.find(phrase, at + 1)
         return out
 
+    def match(self, joined: str, n: int, start: int) -> tuple[int, int] | None:
+        """(edits, end) of notice ``n`` from ``start``: fewest edits, then the length nearest to the notice's, then the shorter."""
+        p, _, k = self.notices[n]
+        found = self.patterns[n][k].match(joined, start, start + len(p) + k + 1)
+        if not found:
+            return None
+        for e, pattern in enumerate(self.patterns[n]):
+            for off in sorted(range(-e, e + 1), key=lambda x: (abs(x), x)):
+                end = start + len(p) + off
+                if start < end < len(joined) and joined[end] == " " and joined[end - 1] != " " and pattern.fullmatch(joined, start, end):
+                    return e, end
+        return None
+
     def fuzzy_places(self, joined: str) -> list[tuple[int, int, str, int, float]]:
-        """(start, end, label, edits, score) in ``joined``, each place of a notice once."""
-        windows: dict[int, list[list[int]]] = {}
-        for end, uses in self.automaton.iter(joined):
+        """(start, end, label, edits, score) in ``joined`` in order, each place of a notice once."""
+        tried: dict[int, dict[int, tuple[int, int]]] = {}
+        for last, uses in self.automaton.iter(joined):
             for n, at, size in uses:
-                p, _, k = self.notices[n]
-                low = max(0, end + 1 - size - at - k - 1)
-                spans = windows.setdefault(n, [])
-                high = end + 1 - size - at + len(p) + k + 1
-                if spans and low <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], high)
-                else:
-                    spans.append([low, high])
-        out = {}
-        for n, spans in windows.items():
-            p, label, k = self.notices[n]
-            todo = [(low, min(high, len(joined))) for low, high in spans]
-            while todo:
-                low, high = todo.pop()
-                if m := self.patterns[n].search(joined, low, high):
-                    # The best match of a window may have others before and after it.
-                    todo += [(low, m.start()), (m.end(), high)]
-                    if m.start() and joined[m.start() - 1] != " " or m.end() < len(joined) and joined[m.end()] != " ":
-                        continue
-                    edits = sum(m.fuzzy_counts)
-                    out[m.start(), label] = (m.start(), m.end(), label, edits, 1 - edits / len(p))
-        return list(out.values())
+                k, known = self.notices[n][2], tried.setdefault(n, {})
+                middle = last + 1 - size - at
+                for start in range(max(1, middle - k), middle + k + 1):
+                    if start not in known and start < len(joined) and joined[start - 1] == " " and joined[start] != " ":
+                        known[start] = self.match(joined, n, start)
+        chosen = []
+        for n, known in tried.items():
+            chosen += [(start, end, n, edits) for start, (edits, end) in _apart([(s, m) for s, m in known.items() if m])]
+        chosen.sort(key=lambda x: (x[0], -x[1]))
+        out, reach = [], []
+        for start, end, n, edits in chosen:
+            p, label, _ = self.notices[n]
+            reach = [x for x in reach if x[1] > start]
+            if not any(a <= start and end <= b and size > len(p) for a, b, size in reach) and not any(o[2] == label and o[0] == start for o in out[-8:]):
+                out.append((start, end, label, edits, 1 - edits / len(p)))
+            reach.append((start, end, len(p)))
+        return out
+
+
+def _apart(found: list[tuple[int, tuple[int, int]]]) -> list[tuple[int, tuple[int, int]]]:
+    """Matches that don't overlap, those with the fewest edits first, then the earliest; in order of their starts."""
+    out, cluster, reach = [], [], 0
+    for start, (edits, end) in [*sorted(found), (1 << 62, (0, 0))]:
+        if start >= reach:  # nothing before overlaps what comes now
+            kept: list[tuple[int, int, int]] = []
+            starts: list[int] = []
+            for e, a, b in sorted((e, a, b) for a, (e, b) in cluster):
+                place = bisect.bisect(starts, a)
+                if (place == 0 or kept[place - 1][2] <= a) and (place == len(kept) or kept[place][1] >= b):
+                    kept.insert(place, (e, a, b))
+                    starts.insert(place, a)
+            out += [(a, (e, b)) for e, a, b in kept]
+            cluster = []
+        cluster.append((start, (edits, end)))
+        reach = max(reach, end)
+    return out
 
 
 def scan(documents: DataFrame, notices: dict[str, str] | None = None, base: dict[str, str] | None = None, per_edit: int = CHARACTERS_PER_EDIT) -> DataFrame:
@@ -121,10 +158,11 @@ def scan(documents: DataFrame, notices: dict[str, str] | None = None, base: dict
             fuzzy = finder.fuzzy_places(joined)
             matches = []
             if fuzzy:
-                spans = [m.span() for m in WORD.finditer(text)]
-                for start, end, label, edits, _ in sorted(fuzzy):
-                    first, last = joined.count(" ", 0, max(start, 1)) - 1, joined.count(" ", 0, end) - 1
-                    matches.append({"label": label, "start": spans[max(first, 0)][0], "end": spans[min(last, len(spans) - 1)][1], "edits": edits})
+                spans, known, before = [m.span() for m in WORD.finditer(text)], 0, 0
+                for start, end, label, edits, _ in fuzzy:
+                    before, known = before + joined.count(" ", known, start), start  # blanks before the place: its first word's number, from 1
+                    last = before + joined.count(" ", start, end)
+                    matches.append({"label": label, "start": spans[before - 1][0], "end": spans[last - 1][1], "edits": edits})
             at = [w for w, _ in places]
             base_labels = sorted({x for _, x in places})
             labels = sorted({*base_labels, *(x[2] for x in fuzzy)})
