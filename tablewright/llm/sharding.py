@@ -6,7 +6,9 @@ distributed, external and hierarchical memory"). Each task derives its own row o
 partitions, with a generator that depends on the seed and the halves only, so no task and no driver holds the matrix.
 A task permutes its rows, sends them as its row says, and the receiving task permutes its block. A shard is a run of blocks.
 
-Partitions and blocks number sqrt(rows) / 16 each, so a task's share grows with the square root of the input.
+Partitions and blocks hold ``PART_ROWS`` rows each, so a task's share doesn't grow with the input, up to ``MOST_PARTS`` of each;
+beyond that they grow, as a matrix of more rows and columns would cost more than its rows do. Tasks sort and pass rows on in
+batches, so their memory is bounded either way.
 """
 
 from __future__ import annotations
@@ -15,13 +17,16 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablewright.llm.common import generator, mapped
 
 #: Populations below which numpy draws hypergeometric variates.
 NUMPY_MOST = 900_000_000
+#: Rows of a hashed partition and of a target block, on average, and how many of each there are at most.
+PART_ROWS = 16_384
+MOST_PARTS = 16_384
 
 
 def _large_hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
@@ -89,12 +94,12 @@ def uniform_shards(df: DataFrame, identity: list[str], shards: int = 8, seed: in
 
     Every assignment of rows to slots has the same chance. ``identity`` names the columns that tell rows apart: rows equal
     in all of them may take one another's slots, and reruns agree but for those. Null values count as a value of their own;
-    an empty table gives no rows; columns of ``df`` called shard or slot are replaced. Key groups don't exist here, so no
-    hot group does: partitions and blocks are even in rows whatever the rows hold.
+    an empty table gives no rows; columns of ``df`` called shard or slot are replaced. Blocks are even in rows whatever the
+    rows hold; partitions are but for rows equal in ``identity``, which lie in one: name columns that tell rows apart.
     """
     df = df.drop("shard", "slot")
     total = df.count()
-    count = max(1, math.ceil(math.sqrt(total) / 16))
+    count = max(1, min(MOST_PARTS, math.ceil(total / PART_ROWS)))
     per_shard = math.ceil(count / shards)
     own = [df[c] for c in identity]
     keyed = df.select(F.struct("*").alias("row"), F.pmod(F.xxhash64(F.lit(seed), *own), F.lit(count)).cast("int").alias("part"), F.xxhash64(F.lit(seed + 1), *own).alias("first"), F.xxhash64(F.lit(seed + 2), *own).alias("second"))
@@ -102,7 +107,7 @@ def uniform_shards(df: DataFrame, identity: list[str], shards: int = 8, seed: in
     for r in keyed.groupBy("part").agg(F.count("*").alias("n")).collect():
         sizes[r["part"]] = r["n"]
     blocks = np.concatenate([even_sizes(n, per_shard) for n in even_sizes(total, shards).tolist()])
-    local = keyed.repartition(count, "part").sortWithinPartitions("part", "first", "second")
+    local = keyed.repartitionById(count, "part").sortWithinPartitions("part", "first", "second")
 
     def send(batches):
         part, taken, ends = -1, 0, None
@@ -121,8 +126,22 @@ def uniform_shards(df: DataFrame, identity: list[str], shards: int = 8, seed: in
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("second"), pa.array(out)], names=["row", "second", "block"])
 
     sent = mapped(local.select("row", "part", "second"), send, f"row {keyed.schema['row'].dataType.simpleString()},second bigint,block int")
-    window = Window.partitionBy("block").orderBy("second", F.xxhash64(F.lit(seed + 3), *(F.col("row")[c] for c in identity)))
-    placed = sent.withColumn("at", F.row_number().over(window).cast("long") - 1)
+    dealt = sent.withColumn("third", F.xxhash64(F.lit(seed + 3), *(F.col("row")[c] for c in identity))).repartitionById(len(blocks), "block").sortWithinPartitions("block", "second", "third")
+
+    def receive(batches):
+        block, taken = -1, 0
+        for batch in batches:
+            blocks_of = batch.column("block").to_numpy()
+            at = np.arange(len(blocks_of), dtype=np.int64)
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(blocks_of)) + 1)) if len(at) else np.zeros(0, np.int64)
+            if len(at):
+                at -= np.repeat(starts, np.diff([*starts, len(at)]))
+                if blocks_of[0] == block:
+                    at[: starts[1] if len(starts) > 1 else len(at)] += taken
+                block, taken = int(blocks_of[-1]), int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("block"), pa.array(at)], names=["row", "block", "at"])
+
+    placed = mapped(dealt.select("row", "block"), receive, f"row {keyed.schema['row'].dataType.simpleString()},block int,at bigint")
     shard, sub = F.floor(F.col("block") / per_shard).cast("int"), F.col("block") % per_shard
     rows = F.lit(total // shards).cast("long") + F.when(shard < total % shards, 1).otherwise(0)
     return placed.select("row.*", shard.alias("shard"), (_start(rows, per_shard, sub) + F.col("at")).cast("long").alias("slot"))
