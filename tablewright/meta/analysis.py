@@ -13,6 +13,8 @@ REFS = ["from_instance", "from_db", "from_table", "from_column", "to_instance",
 #: Weights of the factors that rank tables.
 WEIGHTS = {"graph_degree": 0.30, "fk_centrality": 0.30, "row_count": 0.18, "index_density": 0.07, "write_intensity": 0.10, "query_frequency": 0.05}
 WIDE = 30
+#: What follows a cluster's common prefix, or its size.
+CLUSTER_NAMES = ("* cluster", "-table cluster")
 
 
 def declared_refs(c: Catalog) -> DataFrame:
@@ -53,17 +55,20 @@ def edges(refs: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that links reach. Every round takes the least label around and then that label's own."""
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct().cache()
-    now = nodes.select("node", F.col("node").alias("root")).distinct()
+    """(node, root): the smallest node that links reach.
+
+    Every round takes the least label around and then that label's own; nodes without links take no part in it. Rounds end
+    when a checksum of the labels stays the same.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct().checkpoint()
+    now, mark = both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), None
     while True:
         around = both.join(now, both["b"] == now["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = now.join(around, now["node"] == around["a"], "left").select("node", F.least("root", F.coalesce("near", "root")).alias("root"))
-        jumped = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.least("root", "next").alias("root")).checkpoint()
-        if not jumped.join(now.withColumnRenamed("root", "was"), "node").where("root != was").limit(1).count():
-            both.unpersist()
-            return jumped
-        now = jumped
+        step = now.join(around, now["node"] == around["a"]).select("node", F.least("root", "near").alias("root"))
+        now = step.join(step.select(F.col("node").alias("root"), F.col("root").alias("next")), "root").select("node", F.least("root", "next").alias("root")).checkpoint()
+        last, mark = mark, now.agg(F.sum(F.xxhash64("node", "root").cast("decimal(38, 0)"))).first()[0]
+        if mark == last:
+            return nodes.select("node").distinct().join(now, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
 def table_nodes(c: Catalog) -> DataFrame:
@@ -80,7 +85,7 @@ def clusters(c: Catalog, refs: DataFrame) -> DataFrame:
     common = F.array_max(F.filter(lengths, lambda n: F.forall(names, lambda m: F.substring(m, F.lit(1), n) == F.substring(first, F.lit(1), n))))
     raw = F.substring(first, F.lit(1), common)
     cut = F.when(raw.rlike("[_-]$"), F.regexp_replace(raw, "[_-]$", "")).when(raw.rlike("[_-]"), F.regexp_replace(raw, "[_-][^_-]*$", "")).otherwise(raw)
-    name = F.when(F.col("size") == 1, first).when(cut != "", F.concat(cut, F.lit("* cluster"))).otherwise(F.concat(F.col("size").cast("string"), F.lit("-table cluster")))
+    name = F.when(F.col("size") == 1, first).when(cut != "", F.concat(cut, F.lit(CLUSTER_NAMES[0]))).otherwise(F.concat(F.col("size").cast("string"), F.lit(CLUSTER_NAMES[1])))
     return grouped.select("root", "members", "size", name.alias("name"))
 
 

@@ -62,6 +62,23 @@ def group(df: DataFrame, by: list[str], having: Column | str | None = None, **ag
     return out if having is None else out.where(having)
 
 
+def over_partition(df: DataFrame, keys: list[str], **aggregates: Column) -> DataFrame:
+    """``df`` with aggregates over the whole of each row's partition, null keys being one: what an unframed window gives.
+
+    The aggregate combines before it shuffles and its result joins back, broadcast while it is small, so the rows of a hot key
+    never meet in one task.
+    """
+    if not keys:
+        return df.crossJoin(df.agg(*(c.alias(n) for n, c in aggregates.items())))
+    names = {k: f"__key{n}" for n, k in enumerate(keys)}
+    whole = df.groupBy(*(F.col(k).alias(n) for k, n in names.items())).agg(*(c.alias(n) for n, c in aggregates.items()))
+    on = None
+    for k, n in names.items():
+        same = df[k].eqNullSafe(whole[n])
+        on = same if on is None else on & same
+    return df.join(whole, on, "left").drop(*names.values())
+
+
 def union(*parts: DataFrame, distinct: bool = False) -> DataFrame:
     """By position, with the first part's names."""
     out = parts[0]

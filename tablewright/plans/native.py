@@ -8,6 +8,8 @@ from tablewright.plans.guard import GuardError
 #: First words of statements that only read, and verbs that write wherever a statement may begin.
 READS = frozenset({"SELECT", "WITH", "SHOW", "DESCRIBE", "DESC", "PRAGMA", "CHECK", "VALUES", "TABLE"})
 WRITES = frozenset("INSERT UPDATE DELETE MERGE REPLACE UPSERT DROP CREATE ALTER TRUNCATE GRANT REVOKE CALL EXEC EXECUTE LOAD COPY RENAME LOCK SET COMMIT ROLLBACK ATTACH DETACH VACUUM IMPORT INSTALL".split())
+#: PRAGMAs whose argument names what is looked up; with any other, an argument sets a value.
+PRAGMAS = frozenset("table_info table_xinfo table_list index_info index_xinfo index_list foreign_key_list foreign_key_check integrity_check quick_check".split())
 EXPLAIN_WORDS = frozenset("ANALYZE ANALYSE VERBOSE EXTENDED FORMATTED CODEGEN COST QUERY PLAN FOR LOGICAL DISTRIBUTED AST SYNTAX PIPELINE ESTIMATE PARTITIONS".split())
 
 
@@ -28,6 +30,11 @@ def unwrap_explain(tokens: list[Token]) -> list[Token]:
     return tokens[k:]
 
 
+def _pragma(tokens: list[Token]) -> int:
+    """The place of a PRAGMA's name, which a schema may precede."""
+    return 3 if len(tokens) > 3 and tokens[2].text == "." else 1
+
+
 def check_native(sql: str) -> list[Token]:
     """The tokens of one statement that only reads; GuardError for any other."""
     tokens = tokens_of(sql)
@@ -42,8 +49,8 @@ def check_native(sql: str) -> list[Token]:
         raise GuardError(f"{inner[0].key if inner else 'nothing'} isn't a read")
     if inner[0].key == "CHECK" and [t.key for t in inner[:2]] != ["CHECK", "TABLE"]:
         raise GuardError("CHECK isn't a read")
-    if inner[0].key == "PRAGMA" and any(t.text == "=" for t in inner):
-        raise GuardError("PRAGMA that sets a value")
+    if inner[0].key == "PRAGMA" and (any(t.text == "=" for t in inner) or any(t.text == "(" for t in inner) and inner[_pragma(inner)].text.lower() not in PRAGMAS):
+        raise GuardError("PRAGMA that may set a value")
     before = ""
     for k, t in enumerate(inner):
         if t.kind == "word" and t.key in WRITES and before in ("", "(", ")", "AS"):

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tablewright.functions import scalars
 from tablewright.meta import analysis
 from tablewright.meta.catalog import Catalog, from_rows
-from tablewright.session import table
+from tablewright.queries import schema_sql
+from tablewright.session import shared_folder, table
 
 #: The shop whose schema is analysed: columns (first one the primary key), indexed columns and declared keys.
 SHOP = {
@@ -22,20 +23,30 @@ SHOP = {
 }
 
 
-def _shop(spark: SparkSession, sf_dir: str, without: str = "", extra: bool = False) -> Catalog:
-    """A catalog whose row counts are those of tables in ``sf_dir``, one after another."""
-    sizes = dict(zip(SHOP, ("customer", "orders", "lineitem", "part", "region", "nation", "events"), strict=True))
+#: The table of ``sf_dir`` whose size each of the shop's tables has.
+SIZES = dict(zip(SHOP, ("customer", "orders", "lineitem", "part", "region", "nation", "events"), strict=True))
+
+
+def _shop_rows(without: str = "", extra: bool = False) -> dict[str, list[tuple]]:
+    """The shop's schema as rows, without row counts."""
     rows: dict[str, list[tuple]] = {"tables": [], "columns": [], "indexes": [], "fks": []}
     for t, (columns, indexed, keys) in SHOP.items():
         if t == without:
             continue
-        rows["tables"].append(("main", "shop", t, table(spark, sf_dir, sizes[t]).count()))
+        rows["tables"].append(("main", "shop", t))
         columns = [*columns, "note"] if extra and t == "users" else columns
         for k, c in enumerate(columns):
             kind = "bigint" if c.endswith("id") else "double" if c in ("total", "price", "amount") else "text"
             rows["columns"].append(("main", "shop", t, k, c, "int" if extra and c == "status" else kind, c != "id", None, c == "id"))
         rows["indexes"] += [("main", "shop", t, f"ix_{t}_{c}", [c], c == "id") for c in indexed]
         rows["fks"] += [("main", "shop", t, c, to, to_column) for c, to, to_column in keys]
+    return rows
+
+
+def _shop(spark: SparkSession, sf_dir: str, without: str = "", extra: bool = False, counted: bool = False) -> Catalog:
+    """The shop's catalog; ``counted``: with the row counts of tables in ``sf_dir``."""
+    rows = _shop_rows(without, extra)
+    rows["tables"] = [(*r, table(spark, sf_dir, SIZES[r[2]]).count() if counted else 0) for r in rows["tables"]]
     return from_rows(spark, rows)
 
 
@@ -64,7 +75,7 @@ def meta_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meta_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _shop(spark, sf_dir)
+    c = _shop(spark, sf_dir, counted=True)
     return analysis.rank(c, analysis.all_refs(c))
 
 
@@ -91,7 +102,7 @@ def meta_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def meta_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _shop(spark, sf_dir)
+    c = _shop(spark, sf_dir, counted=True)
     return analysis.summary(c, analysis.all_refs(c), top=5).select("table", "score", F.array_join("columns", ",").alias("columns"), F.array_join("refers_to", ",").alias("refers_to"))
 
 
@@ -131,11 +142,9 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checkpoints(spark: SparkSession) -> None:
-    """A checkpoint folder where the session has none (tests); a cluster names a shared one in spark.checkpoint.dir."""
+    """The folder that ``checkpoint()`` writes to: the shared one."""
     if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablewright-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 def key_family_group(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,21 +169,38 @@ COMPONENT_SQL = (
   (SELECT l2.b FROM links l1 JOIN links l2 ON l1.b = l2.a WHERE l1.a = nodes.node) END AS region FROM nodes)
 SELECT node, CASE WHEN region IS NULL THEN node ELSE min(node) OVER (PARTITION BY region) END AS root FROM up"""
 )
-INFER_SQL = "SELECT * FROM (VALUES ('l_orderkey', 'INTEGER'), ('l_quantity', 'FLOAT'), ('l_returnflag', 'TEXT'), ('l_shipdate', 'DATE')) t(\"column\", \"type\")"
-VALUE_SQL = "SELECT * FROM (SELECT 'integer' AS type, count(*) AS n FROM events UNION ALL SELECT 'string', count(*) FROM events UNION ALL SELECT 'json', count(*) FROM events UNION ALL SELECT 'float', count(*) FROM events)"
+KIND_SQL = r"""SELECT '{c}' AS "column", CASE WHEN bool_and(regexp_full_match({text}, '[+-]?\d+')) THEN 'INTEGER' WHEN bool_and(TRY_CAST({text} AS DOUBLE) IS NOT NULL) THEN 'FLOAT'
+  WHEN bool_and(TRY_CAST({text} AS DATE) IS NOT NULL) THEN 'DATE' ELSE 'TEXT' END AS "type" FROM lineitem"""
+INFER_SQL = " UNION ALL ".join(KIND_SQL.format(c=c, text=f"strftime({c}, '%Y-%m-%d')" if c == "l_shipdate" else f"CAST({c} AS VARCHAR)") for c in ("l_orderkey", "l_quantity", "l_returnflag", "l_shipdate"))
+VALUE_SQL = r"""SELECT CASE WHEN regexp_full_match(v, '[+-]?\d+') AND TRY_CAST(v AS BIGINT) IS NOT NULL THEN 'integer' WHEN regexp_full_match(v, '[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?') THEN 'float'
+  WHEN regexp_matches(v, '^\s*[\{\[]') THEN 'json' ELSE 'string' END AS type, count(*) AS n FROM (
+  SELECT CAST(user_id AS VARCHAR) AS v FROM events UNION ALL SELECT event_type FROM events UNION ALL SELECT props FROM events UNION ALL SELECT CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || '.5' FROM events) GROUP BY 1"""
+
+
+def _sql(*parts: str) -> str:
+    """Operators of ``schema_sql`` over the shop; the last part is the query."""
+    *ctes, query = [schema_sql.schema(_shop_rows(), SIZES), *parts]
+    return f"WITH RECURSIVE {', '.join(ctes)}{'' if query.startswith('SELECT') else ', '} {query}"
+
+
+def _two(before: dict, after: dict, *parts: str) -> str:
+    """The same over two versions of the shop, a_ and b_."""
+    *ctes, query = [schema_sql.schema(before, SIZES, "a_"), schema_sql.schema(after, SIZES, "b_"), *parts]
+    return f"WITH {', '.join(ctes)}{'' if query.startswith('SELECT') else ', '} {query}"
+
 
 FRAMES = {
     "meta_infer_types": (meta_infer_types, INFER_SQL),
-    "meta_infer_comment": (meta_infer_comment, ""),
-    "meta_infer_refs": (meta_infer_refs, ""),
-    "meta_clusters": (meta_clusters, ""),
-    "meta_rank": (meta_rank, ""),
-    "meta_lint": (meta_lint, ""),
-    "meta_fingerprint": (meta_fingerprint, ""),
-    "meta_delta": (meta_delta, ""),
-    "meta_diff": (meta_diff, ""),
-    "meta_graph": (meta_graph, ""),
-    "meta_summary": (meta_summary, ""),
+    "meta_infer_comment": (meta_infer_comment, _sql(schema_sql.COMMENT)),
+    "meta_infer_refs": (meta_infer_refs, _sql(schema_sql.REFS, schema_sql.INFERRED)),
+    "meta_clusters": (meta_clusters, _sql(schema_sql.REFS, schema_sql.CLUSTERS)),
+    "meta_rank": (meta_rank, _sql(schema_sql.REFS, schema_sql.SCORES, schema_sql.RANK)),
+    "meta_lint": (meta_lint, _sql(schema_sql.LINT)),
+    "meta_fingerprint": (meta_fingerprint, _sql(schema_sql.prints(), schema_sql.PRINTS)),
+    "meta_delta": (meta_delta, _two(_shop_rows("log_lines"), _shop_rows("category", True), schema_sql.prints("a_"), schema_sql.prints("b_"), schema_sql.DELTA)),
+    "meta_diff": (meta_diff, _two(_shop_rows(), _shop_rows(extra=True), schema_sql.DIFF)),
+    "meta_graph": (meta_graph, _sql(schema_sql.REFS, schema_sql.GRAPH)),
+    "meta_summary": (meta_summary, _sql(schema_sql.REFS, schema_sql.SCORES, schema_sql.SUMMARY)),
     "graph_degree": (graph_degree, TRADE_SQL + "SELECT n.node, count(x.a) AS degree FROM nodes n LEFT JOIN (SELECT a AS a FROM links UNION ALL SELECT b FROM links) x ON n.node = x.a GROUP BY n.node"),
     "graph_neighbors": (graph_neighbors, TRADE_SQL + "SELECT node, neighbor FROM both_ways"),
     "graph_isolated": (graph_isolated, TRADE_SQL + "SELECT node FROM nodes WHERE node NOT IN (SELECT node FROM both_ways)"),

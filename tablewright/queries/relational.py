@@ -69,10 +69,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "win_lag_default": ("SELECT o_orderkey, lag(o_totalprice, 1, CAST(0 AS DOUBLE)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders", ""),
     "win_first_value": ("SELECT event_id, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS first_type FROM events", ""),
     "win_last_value": ("SELECT event_id, last_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last_type FROM events", ""),
-    "win_sum": ("SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS total FROM orders", ""),
-    "win_avg": ("SELECT event_id, avg(value) OVER (PARTITION BY event_type) AS mean FROM events", ""),
-    "win_count": ("SELECT event_id, count(nullif(event_type, 'view')) OVER (PARTITION BY user_id) AS n FROM events", ""),
-    "win_min_max": ("SELECT o_orderkey, min(o_totalprice) OVER (PARTITION BY o_custkey) AS least, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most FROM orders", ""),
+    "win_total": ("SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS total FROM orders", ""),
     "win_running_sum": ("SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS running FROM orders", "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running FROM orders"),
     "win_rows_sliding": ("SELECT event_id, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS recent FROM events", ""),
     "win_rows_following": ("SELECT event_id, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING) AS coming FROM events", ""),
@@ -94,6 +91,10 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "union_cross_source": ("SELECT r_name AS name FROM region UNION ALL SELECT n_name FROM nation WHERE n_regionkey = 1", ""),
     "distinct_on": ("SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey", ""),
     "select_distinct": ("SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders", ""),
+    "where_error": ("SELECT c_custkey FROM customer WHERE 1 / (c_custkey - 1) > 0.01", "SELECT c_custkey FROM customer WHERE 1 / nullif(c_custkey - 1, 0) > 0.01"),
+    "where_misfit": ("SELECT n_name FROM nation WHERE n_name > 5 OR n_nationkey = 3", "SELECT n_name FROM nation WHERE coalesce(TRY_CAST(n_name AS DOUBLE) > 5, FALSE) OR n_nationkey = 3"),
+    "plus_text": ("SELECT n_nationkey, n_name + '-' + n_name AS twice, (n_name + '!') AS shout, n_nationkey + 1 AS more FROM nation", "SELECT n_nationkey, n_name || '-' || n_name AS twice, n_name || '!' AS shout, n_nationkey + 1 AS more FROM nation"),
+    "not_in_null": ("SELECT n_name FROM nation WHERE n_regionkey NOT IN (SELECT nullif(r_regionkey, 2) FROM region WHERE r_regionkey > 0)", "SELECT n_name FROM nation WHERE n_regionkey IN (0, 2)"),
     # additions: what Spark has beside the dialect
     "extra_intersect": ("SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier", ""),
     "extra_except": ("SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000", ""),
@@ -109,6 +110,22 @@ def anti_not_in_subquery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.anti(table(spark, sf_dir, "customer"), orders, "c_custkey", "o_custkey").select("c_custkey")
 
 
+def win_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.over_partition(table(spark, sf_dir, "orders"), ["o_custkey"], total=F.sum("o_totalprice")).select("o_orderkey", "total")
+
+
+def win_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.over_partition(table(spark, sf_dir, "events"), ["event_type"], mean=F.avg("value")).select("event_id", "mean")
+
+
+def win_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.over_partition(table(spark, sf_dir, "events"), ["user_id"], n=F.count(F.nullif("event_type", F.lit("view")))).select("event_id", "n")
+
+
+def win_min_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ops.over_partition(table(spark, sf_dir, "orders"), ["o_custkey"], least=F.min("o_totalprice"), most=F.max("o_totalprice")).select("o_orderkey", "least", "most")
+
+
 def agg_first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A column that isn't grouped, taken from the group's first row in an order of its own."""
     first = F.min_by("o_orderpriority", "o_orderkey")
@@ -136,6 +153,10 @@ def fn_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FRAMES = {
     "anti_not_in_subquery": (anti_not_in_subquery, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)"),
+    "win_sum": (win_sum, "SELECT o_orderkey, sum(o_totalprice) OVER (PARTITION BY o_custkey) AS total FROM orders"),
+    "win_avg": (win_avg, "SELECT event_id, avg(value) OVER (PARTITION BY event_type) AS mean FROM events"),
+    "win_count": (win_count, "SELECT event_id, count(nullif(event_type, 'view')) OVER (PARTITION BY user_id) AS n FROM events"),
+    "win_min_max": (win_min_max, "SELECT o_orderkey, min(o_totalprice) OVER (PARTITION BY o_custkey) AS least, max(o_totalprice) OVER (PARTITION BY o_custkey) AS most FROM orders"),
     "agg_first_row": (agg_first_row, "SELECT o_custkey, count(*) AS n, arg_min(o_orderpriority, o_orderkey) AS first_priority FROM orders GROUP BY o_custkey"),
     "scan_limit": (scan_limit, "SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 12 OFFSET 5"),
     "auto_limit": (auto_limit, "SELECT least(count(*), 100) AS row_count, count(*) > 100 AS truncated FROM orders"),

@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 from tablewright.plans import promql
 from tablewright.plans.engine import Engine
 from tablewright.plans.policy import Policy, PolicyError
-from tablewright.session import TABLES, engine, table
+from tablewright.session import TABLES, engine, shared_folder, table
 from tablewright.sources import files
 
 
 def _exported(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table written as CSV in the shared folder and read back as a delimited source."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = f"file://{tempfile.mkdtemp(prefix='tablewright-')}"
+    base = shared_folder(spark)
     path = f"{base.rstrip('/')}/export-{uuid.uuid4().hex}"
     table(spark, sf_dir, name).write.option("header", True).csv(path)
     return files.read_delimited(spark, f"{path}/*.csv")
@@ -55,6 +51,35 @@ def policy_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, rules=Policy(mask_columns=("customer.c_n*",))).query("SELECT c_custkey, c_name, c_mktsegment FROM customer")
 
 
+def policy_mask_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked columns under other names, through expressions, a common table expression and a union."""
+    sql = "WITH c AS (SELECT c_custkey, c_name AS x, upper(c_name) AS y FROM customer) SELECT c_custkey, x, y FROM c UNION ALL SELECT n_nationkey, 'nobody', n_name FROM nation"
+    return engine(spark, sf_dir, rules=Policy(mask_columns=("customer.c_n*",))).query(sql)
+
+
+def policy_deny_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which statements that go round the registered tables are refused: files by path, code, whatever isn't a read."""
+    e = engine(spark, sf_dir, rules=Policy(deny_tables=("orders",)))
+    statements = [f"SELECT count(*) AS n FROM parquet.`{sf_dir}/orders.parquet`", f"SELECT * FROM nation WHERE n_nationkey IN (SELECT o_custkey FROM parquet.`{sf_dir}/orders.parquet`)", "SELECT java_method('java.lang.System', 'getProperty', 'user.home') AS x", "SELECT TRANSFORM(n_name) USING 'cat' FROM nation", "EXECUTE IMMEDIATE 'SELECT 1'", "SELECT * FROM nation"]
+    out = []
+    for k, s in enumerate(statements):
+        try:
+            e.query(s)
+            out.append((k, False))
+        except PermissionError:
+            out.append((k, True))
+    return spark.createDataFrame(out, "statement int, denied boolean")
+
+
+def _late_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as CSV whose status is a number in all rows but the last ones, read back with types."""
+    late = F.when(F.col("o_orderkey") > 1400, F.concat(F.lit("A"), F.col("o_custkey"))).otherwise(F.col("o_custkey").cast("string"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", late.alias("code"), F.col("o_totalprice").alias("price"))
+    path = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    o.coalesce(1).orderBy("o_orderkey").write.option("header", True).csv(path)
+    return files.read_delimited(spark, f"{path}/*.csv")
+
+
 def policy_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir, rules=Policy(deny_columns=("supplier.s_acctbal",))).query("SELECT * FROM (SELECT * FROM supplier) x")
 
@@ -103,6 +128,9 @@ FRAMES = {
     "dsl_single_source": (_over_sources("SELECT p_brand, count(*) AS n FROM @store.part WHERE p_name <> 'x@lake.region' GROUP BY p_brand"), "SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand"),
     "dsl_bind": (dsl_bind, "SELECT * FROM (VALUES ('lake', 'customer', 5), ('store', 'orders', 6), ('lake', 'nation', 3)) t(label, name, width)"),
     "policy_mask": (policy_mask, "SELECT c_custkey, '***' AS c_name, c_mktsegment FROM customer"),
+    "policy_mask_alias": (policy_mask_alias, "SELECT c_custkey, '***' AS x, '***' AS y FROM customer UNION ALL SELECT n_nationkey, '***', '***' FROM nation"),
+    "policy_deny_path": (policy_deny_path, "SELECT * FROM (VALUES (0, TRUE), (1, TRUE), (2, TRUE), (3, TRUE), (4, TRUE), (5, FALSE)) t(statement, denied)"),
+    "csv_late_cells": (_late_cells, "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN o_orderkey > 1400 THEN 'A' ELSE '' END || o_custkey AS code, o_totalprice AS price FROM orders"),
     "policy_strip": (policy_strip, "SELECT s_suppkey, s_name, s_nationkey FROM supplier"),
     "policy_deny_table": (policy_deny_table, "SELECT * FROM (VALUES (0, FALSE), (1, TRUE), (2, TRUE), (3, TRUE), (4, FALSE)) t(statement, denied)"),
     "promql_group_agg": (_promql("SELECT type, avg(value) FROM events GROUP BY type"), "SELECT event_type AS type, avg(value) AS value FROM events GROUP BY event_type"),

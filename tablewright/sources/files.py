@@ -15,25 +15,30 @@ SPARK_TYPES = {"INTEGER": T.LongType(), "FLOAT": T.DoubleType(), "DATE": T.Times
 SAMPLE = 100
 
 
-def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str = "", encoding: str = "", typed: bool = True) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str | list[str], delimiter: str = "", encoding: str = "", typed: bool = True, multiline: bool | None = None) -> DataFrame:
     """A file, folder, glob or list of files as one table.
 
     The first file's header names the columns; further files are read by position. Blank cells are null, quotes are lenient,
-    short rows are filled with null and long ones cut, a byte order mark is dropped. ``typed`` casts by a sample's types; a
-    cell that doesn't fit its column's type is null.
+    short rows are filled with null and long ones cut, a byte order mark is dropped. ``typed``: a column is cast to the first
+    type that all its cells fit, which takes a pass over the files; no cell is lost. ``multiline``: whether a quoted cell may
+    hold line ends, when a file is one task; by default that is looked up in the same files first, by lines with an odd number
+    of quotes. Encodings other than UTF-8 need a legacy setting of Spark, which is set on the session.
     """
     sep, charset = DELIMITERS.get(delimiter.lower(), delimiter), ENCODINGS[encoding.lower()]
     if not charset.startswith("UTF"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")
-    options = {"sep": sep, "encoding": charset, "quote": '"', "escape": '"', "multiLine": True, "nullValue": "", "emptyValue": "", "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    first = sorted(r[0] for r in spark.read.format("binaryFile").load(path).select("path").collect())
-    if not first:
+    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+    if first is None:
         raise FileNotFoundError(str(path))
-    lines = spark.read.options(header=False, **options).csv(first[0]).limit(1).collect()
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = bool(spark.read.option("encoding", charset).text(path).where(quotes % 2 == 1).limit(1).count())
+    options = {"sep": sep, "encoding": charset, "quote": '"', "escape": '"', "multiLine": multiline, "nullValue": "", "emptyValue": "", "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    lines = spark.read.options(header=False, **options).csv(first).limit(1).collect()
     names = _header([(x or "").lstrip("﻿") for x in lines[0]]) if lines else ["_c0"]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     df = spark.read.options(header=True, enforceSchema=True, **options).schema(schema).csv(path)
-    return cast_by_sample(df) if typed else df
+    return cast_by_cells(df) if typed else df
 
 
 def _header(names: list[str]) -> list[str]:
@@ -51,15 +56,23 @@ def _header(names: list[str]) -> list[str]:
 
 
 def sampled_types(df: DataFrame, sample: int = SAMPLE) -> dict[str, str]:
-    """INTEGER, FLOAT, DATE or TEXT for each column, from the first rows."""
-    row = df.limit(sample).agg(*(scalars.inferred_type(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(df.columns))).first()
+    """INTEGER, FLOAT, DATE or TEXT for each column, from the first rows: what schema collection reports."""
+    return cell_types(df.limit(sample))
+
+
+def cell_types(df: DataFrame) -> dict[str, str]:
+    """INTEGER, FLOAT, DATE or TEXT for each column, the first that all its cells fit."""
+    row = df.agg(*(scalars.inferred_type(F.col(f"`{c}`")).alias(f"c{k}") for k, c in enumerate(df.columns))).first()
     return dict(zip(df.columns, row, strict=True))
 
 
-def cast_by_sample(df: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Text columns cast to their sampled types."""
+def cast_by_cells(df: DataFrame) -> DataFrame:
+    """Text columns cast to the types that all their cells fit; the words NULL and null count as blank in such a column.
+
+    A whole number beyond 64 bits makes its column FLOAT.
+    """
     out = []
-    for name, kind in sampled_types(df, sample).items():
+    for name, kind in cell_types(df).items():
         c = F.col(f"`{name}`")
         if kind == "DATE":
             text = F.trim(c)

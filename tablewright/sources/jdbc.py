@@ -49,8 +49,15 @@ def read_table(spark: SparkSession, dsn: Dsn, table: str, **more: str) -> DataFr
 
 
 def read_query(spark: SparkSession, dsn: Dsn, sql: str) -> DataFrame:
-    """A read-only statement that the server runs itself."""
+    """A read-only statement that the server runs itself, in its own dialect; Hive's runs here. EXPLAIN in Oracle takes two steps."""
     from tablewright.plans.guard import check_read_only
+    from tablewright.plans.native import check_native
 
-    check_read_only(spark, sql)
-    return spark.sql(sql) if dsn.kind == "hive" else spark.read.format("jdbc").options(**options(dsn), query=sql).load()
+    if dsn.kind == "hive":
+        check_read_only(spark, sql)
+        return spark.sql(sql)
+    check_native(sql)
+    more = {}
+    if dsn.kind == "oracle" and sql.split(None, 1)[0].upper() == "EXPLAIN":
+        more, sql = {"sessionInitStatement": sql}, "SELECT plan_table_output FROM TABLE(dbms_xplan.display())"
+    return spark.read.format("jdbc").options(**options(dsn), query=sql, **more).load()

@@ -38,27 +38,11 @@ class Range(InputPartition):
 
 
 class Reader(DataSourceReader):
-    COMPARE = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-
     def __init__(self, schema: T.StructType, options: dict):
         self.schema, self.options = schema, options
         self.where: list[str] = []
         self.values: list = []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = _quoted(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
-            if name and type(f) in self.COMPARE and isinstance(f.value, (int, float, str)):
-                self.where.append(f"{name} {self.COMPARE[type(f)]} ?")
-                self.values.append(f.value)
-            elif name and isinstance(f, In) and all(isinstance(v, (int, float, str)) for v in f.value):
-                self.where.append(f"{name} IN ({', '.join('?' * len(f.value))})")
-                self.values += f.value
-            elif name and isinstance(f, (IsNull, IsNotNull)):
-                self.where.append(f"{name} IS {'NOT ' * isinstance(f, IsNotNull)}NULL")
-            else:
-                yield f
-
     def partitions(self) -> list[Range]:
         n = int(self.options.get("partitions", "4"))
         with _connect(self.options["path"]) as db:
@@ -84,8 +68,28 @@ class Reader(DataSourceReader):
                 yield tuple(None if v is None else m(v) if m is not bytes or not isinstance(v, str) else v.encode() for m, v in zip(make, row, strict=True))
 
 
+class FilteringReader(Reader):
+    """Filters are SQLite's; only where Spark's setting allows a reader that takes them."""
+
+    COMPARE = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            name = _quoted(f.attribute[0]) if len(getattr(f, "attribute", ())) == 1 else None
+            if name and type(f) in self.COMPARE and isinstance(f.value, (int, float, str)):
+                self.where.append(f"{name} {self.COMPARE[type(f)]} ?")
+                self.values.append(f.value)
+            elif name and isinstance(f, In) and all(isinstance(v, (int, float, str)) for v in f.value):
+                self.where.append(f"{name} IN ({', '.join('?' * len(f.value))})")
+                self.values += f.value
+            elif name and isinstance(f, (IsNull, IsNotNull)):
+                self.where.append(f"{name} IS {'NOT ' * isinstance(f, IsNotNull)}NULL")
+            else:
+                yield f
+
+
 class SqliteSource(DataSource):
-    """Options: path, table, partitions."""
+    """Options: path, table, partitions, filters (whether they go down)."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,14 +103,50 @@ class SqliteSource(DataSource):
         return T.StructType([T.StructField(r[1], spark_type(r[2])) for r in rows])
 
     def reader(self, schema: T.StructType) -> Reader:
-        return Reader(schema, self.options)
+        return (FilteringReader if self.options.get("filters") == "true" else Reader)(schema, self.options)
 
 
 def read_table(spark: SparkSession, path: str, table: str, partitions: int = 4) -> DataFrame:
     """A table of a SQLite file that all executors can open. Filters go down where ``spark.sql.python.filterPushdown.enabled``."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(SqliteSource)
-    return spark.read.format("tablewright_sqlite").options(path=path, table=table, partitions=str(partitions)).load()
+    return spark.read.format("tablewright_sqlite").options(path=path, table=table, partitions=str(partitions), filters=spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")).load()
+
+
+def read_query(spark: SparkSession, path: str, sql: str) -> DataFrame:
+    """A read-only statement that SQLite runs itself, on one executor task; a column is of numbers if all its cells are, else of text."""
+    from tablewright.plans.native import check_native
+
+    check_native(sql)
+    with _connect(path) as db:
+        names = [d[0] for d in db.execute(sql).description]
+        try:
+            found = db.execute(f"SELECT {', '.join(f'group_concat(DISTINCT typeof({_quoted(n)}))' for n in names)} FROM ({sql})").fetchone()
+        except sqlite3.OperationalError:  # PRAGMA, EXPLAIN
+            found = [None] * len(names)
+    whole = {"integer": T.LongType(), "real": T.DoubleType()}
+    seen = [set((x or "text").split(",")) - {"null"} for x in found]
+    kinds = [whole.get(next(iter(x)), T.StringType()) if len(x) == 1 else T.DoubleType() if x == {"integer", "real"} else T.StringType() for x in seen]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            with _connect(path) as db:
+                cursor = db.execute(sql)
+                while rows := cursor.fetchmany(1000):
+                    columns = []
+                    for k, kind in enumerate(kinds):
+                        cells = [r[k] for r in rows]
+                        if isinstance(kind, T.LongType):
+                            columns.append(pa.array(cells, pa.int64()))
+                        else:
+                            columns.append(pa.array([None if v is None else float(v) for v in cells], pa.float64()) if isinstance(kind, T.DoubleType) else pa.array([None if v is None else str(v) for v in cells], pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=[f"c{k}" for k in range(len(names))])
+
+    schema = T.StructType([T.StructField(f"c{k}", kind) for k, kind in enumerate(kinds)])
+    return spark.range(0, 1, 1, 1).mapInArrow(run, schema).toDF(*names)
 
 
 def tables(path: str) -> list[str]:

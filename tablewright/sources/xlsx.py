@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tablewright.sources.files import _header, cast_by_sample
+from tablewright.sources.files import _header, cast_by_cells
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
@@ -94,7 +94,7 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None, typed:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held, strict=True)], names=names)
 
     df = files.select("content").mapInArrow(run, schema)
-    return cast_by_sample(df) if typed else df
+    return cast_by_cells(df) if typed else df
 
 
 def write_book(tables: dict[str, list[list]]) -> bytes:

@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.python.filterPushdown.enabled", "true")
         .config("spark.checkpoint.dir", f"file://{folder}")
         .getOrCreate()
     )

@@ -124,18 +124,129 @@ def test_unknown_function_raises(spark):
 
 
 @pytest.mark.parametrize(("sql", "text"), [
-    ("SELECT * FROM @prom.up", "up"),
-    ("SELECT * FROM @prom.up WHERE job='node'", 'up{job="node"}'),
-    ("SELECT * FROM @prom.up WHERE job='node' AND instance='local'", 'up{job="node",instance="local"}'),
-    ("SELECT * FROM @prom.up WHERE job!='node'", 'up{job!="node"}'),
-    ("SELECT job, count(value) FROM @prom.up GROUP BY job", "count by (job) (up)"),
-    ("SELECT job FROM up WHERE path LIKE '/a%_.x' ORDER BY job", 'up{path=~"/a.*.\\\\.x"}'),
+    ("SELECT * FROM @mon.queue_depth", "queue_depth"),
+    ("SELECT * FROM @mon.queue_depth WHERE shard='7'", 'queue_depth{shard="7"}'),
+    ("SELECT * FROM @mon.queue_depth WHERE shard='7' AND zone='north'", 'queue_depth{shard="7",zone="north"}'),
+    ("SELECT * FROM @mon.queue_depth WHERE shard!='7'", 'queue_depth{shard!="7"}'),
+    ("SELECT zone, count(value) FROM @mon.queue_depth GROUP BY zone", "count by (zone) (queue_depth)"),
+    ("SELECT zone FROM queue_depth WHERE disk LIKE '/d%_.x' ORDER BY zone", 'queue_depth{disk=~"/d.*.\\\\.x"}'),
 ])
 def test_promql_text(sql, text):
     assert promql.compile_sql(sql) == text
 
 
-@pytest.mark.parametrize("sql", ["SELECT COUNT(*) FROM @prom.up", "SELECT * FROM up GROUP BY job", "SELECT * FROM a JOIN b ON 1 = 1", "SELECT * FROM up WHERE value > 1", "SELECT * FROM up WHERE a = 'x' OR b = 'y'", "SELECT job, sum(value), max(value) FROM up GROUP BY job"])
+@pytest.mark.parametrize("sql", ["SELECT COUNT(*) FROM @mon.queue_depth", "SELECT * FROM queue_depth GROUP BY zone", "SELECT * FROM a JOIN b ON 1 = 1", "SELECT * FROM queue_depth WHERE value > 1", "SELECT * FROM queue_depth WHERE a = 'x' OR b = 'y'", "SELECT zone, sum(value), max(value) FROM queue_depth GROUP BY zone"])
 def test_promql_errors(sql):
     with pytest.raises(promql.PromError):
         promql.compile_sql(sql)
+
+
+@pytest.mark.parametrize(("text", "names"), [
+    ("queue_depth", (["queue_depth"], [])),
+    ('sum by (zone) (rate(hits_total{zone="n",disk=~"d.*"}[5m])) / on (zone) group_left (team) limits', (["hits_total", "limits"], ["zone", "disk", "team"])),
+    ('{__name__=~"a|b", zone!="x"}', (["a", "b"], ["__name__", "zone"])),
+    ("topk(3, a offset 5m) and b > bool 1e3", (["a", "b"], [])),
+    ('label_replace(a, "x", "$1", "y", "(.*)")', (["a"], [])),
+])
+def test_promql_names(text, names):
+    assert policy.promql_names(text) == names
+
+
+@pytest.mark.parametrize("sql", ["SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "SELECT id FROM t WHERE reflect('a.B', 'c') = '1'", "SELECT try_reflect('a.B', 'c')", "SELECT sum(v) OVER w FROM t WINDOW w AS (ORDER BY `reflect`('a.B', 'c'))", "WITH a AS (SELECT system.builtin.reflect('a.B', 'c') AS x) SELECT * FROM a", "SELECT IDENTIFIER('ref' || 'lect')('a.B', 'c')", "SELECT * FROM IDENTIFIER('t')", "SELECT TRANSFORM(id) USING 'cat' FROM t", "EXECUTE IMMEDIATE 'SELECT 1'", "BEGIN SELECT 1; END", "SELECT * FROM some_function(1)", "ADD JAR 'x.jar'", "DECLARE VARIABLE x INT", "SELECT 1 AS a FROM t WHERE id IN (SELECT reflect('a.B', 'c'))"])
+def test_guard_refuses_code(spark, sql):
+    with pytest.raises(guard.GuardError):
+        guard.check_read_only(spark, sql)
+
+
+@pytest.mark.parametrize("sql", ["SELECT 1 AS reflect", "SELECT * FROM range(3)", "SELECT explode(array(1, 2))", "SELECT * FROM t LATERAL VIEW explode(array(1)) x AS y", "VALUES (1), (2)", "TABLE t", "SHOW TABLES", "DESCRIBE t", "SELECT * FROM t UNPIVOT (v FOR k IN (a, b))", "SELECT 'reflect(x)' AS s", "FROM t |> WHERE id > 1"])
+def test_guard_allows_reads(spark, sql):
+    guard.check_read_only(spark, sql)
+
+
+def test_only_registered_tables(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/in/x.parquet")
+    spark.range(3).write.parquet(f"{tmp_path}/out/x.parquet")
+    spark.range(5).createOrReplaceTempView("beside")
+    e = engine(spark, folder=f"{tmp_path}/in")
+    assert e.query(f"SELECT id FROM parquet.`{tmp_path}/in/x.parquet`").count() == 3
+    for sql in (f"SELECT * FROM parquet.`{tmp_path}/out/x.parquet`", f"SELECT * FROM parquet.`{tmp_path}/in/../out/x.parquet`", "SELECT * FROM beside", "SELECT id FROM t WHERE id IN (SELECT id FROM beside)", "SELECT * FROM global_temp.x"):
+        with pytest.raises(policy.PolicyError):
+            e.query(sql)
+    with pytest.raises(policy.PolicyError):
+        engine(spark, rules=policy.Policy(deny_tables=("*in/x*",)), folder=f"{tmp_path}/in").query(f"SELECT * FROM parquet.`{tmp_path}/in/x.parquet`")
+
+
+@pytest.mark.parametrize(("sql", "rows"), [
+    ("SELECT name AS x, upper(name) AS y, id FROM t WHERE id = 1", [("#", "#", 1)]),
+    ("WITH a AS (SELECT name AS n FROM t WHERE id = 1) SELECT n FROM a", [("#",)]),
+    ("SELECT 'q' AS x UNION ALL SELECT name FROM t WHERE id = 1", [("#",), ("#",)]),
+    ("SELECT x FROM (SELECT explode(array(name)) AS x FROM t WHERE id = 1) a", [("#",)]),
+    ("SELECT (SELECT max(name) FROM t) AS m", [("#",)]),
+    ("SELECT max(name) AS m, count(name) AS n FROM t", [("#", 3)]),
+    ("SELECT first_value(name) OVER (ORDER BY id) AS f FROM t WHERE id = 1", [("#",)]),
+    ("SELECT tag AS name FROM u WHERE tid = 1", [("a",)]),
+    ("SELECT id, name = 'Ann' AS same FROM t WHERE id = 1", [(1, "#")]),
+    ("SELECT name FROM t WHERE id = 4", [(None,)]),
+])
+def test_masks_follow_columns(spark, sql, rows):
+    assert values(engine(spark, rules=policy.Policy(mask_columns=("t.name",), mask="#")).query(sql)) == rows
+
+
+@pytest.mark.parametrize("sql", ["WITH a AS (SELECT * FROM t) SELECT max(secret) AS m FROM a", "SELECT to_json(struct(*)) AS j FROM t", "SELECT struct(x.*) AS s FROM t x", "SELECT id FROM t UNION ALL SELECT length(secret) FROM t", "SELECT id FROM u JOIN t ON u.tag = t.secret"])
+def test_denied_columns_behind_expressions(spark, sql):
+    with pytest.raises(policy.PolicyError):
+        engine(spark, rules=policy.Policy(deny_columns=("t.secret",))).query(sql)
+
+
+def test_strips_through_common_tables(spark):
+    assert engine(spark, rules=policy.Policy(deny_columns=("t.secret",))).query("WITH a AS (SELECT * FROM t) SELECT * FROM a").columns == ["id", "name", "v"]
+
+
+@pytest.mark.parametrize(("sql", "rows"), [
+    ("SELECT id FROM t WHERE 1 / (id - 1) > 0.4", [(2,), (3,)]),
+    ("SELECT id FROM t WHERE name > 5", []),
+    ("SELECT id FROM t WHERE id NOT IN (SELECT tid FROM u)", [(3,), (4,)]),
+    ("SELECT name + 'x' AS y FROM t WHERE id < 3 ORDER BY id", [("Annx",), ("bobx",)]),
+    ("SELECT (name + '-') + name AS y FROM t WHERE id = 1", [("Ann-Ann",)]),
+    ("SELECT '1' + '2' AS y, id + 1 AS n, v + id AS m FROM t WHERE id = 1", [(3.0, 2, 11.0)]),
+    ("WITH t AS (SELECT * FROM t WHERE id = 1) SELECT t.id FROM t", [(1,)]),
+    ("SELECT t.id, x.id AS other FROM t JOIN t x ON t.id = x.id WHERE t.id = 1", [(1, 1)]),
+    ("SELECT u.tag AS t FROM u WHERE tid = 1", [("a",)]),
+    ("SELECT DISTINCT ON (v) v, id FROM (SELECT * FROM t WHERE v = 20) z", [(20.0, 2)]),
+])
+def test_dialect_conventions(spark, sql, rows):
+    assert values(engine(spark).query(sql)) == rows
+
+
+def test_engines_keep_apart(spark):
+    a = Engine(spark).register("main", {"t": spark.range(1)})
+    b = Engine(spark).register("main", {"t": spark.range(2)})
+    first, second = a.query("SELECT * FROM t"), b.query("SELECT * FROM t")
+    assert (first.count(), second.count()) == (1, 2)
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"  # the engine's setting is its own session's
+
+
+def test_locks_go_by_the_tables_read(spark):
+    e = engine(spark)
+    with e._locked(["main"]):
+        with pytest.raises(BlockingIOError):
+            e.execute("SELECT * FROM t")
+        assert e.execute("SELECT 1 AS a").row_count == 1
+
+
+def test_own_limit_is_bounded(spark):
+    e = engine(spark, most_rows=2)
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        e.execute("SELECT * FROM t LIMIT 3")
+
+
+@pytest.mark.parametrize("sql", ["PRAGMA journal_mode(WAL)", "PRAGMA main.journal_mode(WAL)", "PRAGMA user_version = 3"])
+def test_native_pragmas_that_set(sql):
+    with pytest.raises(guard.GuardError):
+        native.check_native(sql)
+
+
+def test_promql_references():
+    sql = "SELECT x.zone FROM @mon.promql(sum by (zone) (rate(a{b=\"x)\"}[5m]))) x JOIN @db.t ON TRUE"
+    assert dialect.promql_calls(sql) == [("mon", 'sum by (zone) (rate(a{b="x)"}[5m]))')]
+    assert dialect.references(dialect.with_views(sql)) == [("db", "t")]
