@@ -12,6 +12,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +26,11 @@ from tablewright.llm.common import BLANKS, arrow_schema, batches_of, mapped, row
 
 #: Representatives in a bucket before it is split.
 CAPACITY = 4096
+#: Buckets of one owner task, and hash bits that the directory can use (more representatives make buckets larger).
+BUCKETS = 16
+MOST_BITS = 24
+#: Slots of a directory up to which it is broadcast (some 20 MB); a larger one is joined.
+BROADCAST_SLOTS = 1 << 20
 #: Bytes of distinct text that a scan task holds before it writes its representatives and starts anew.
 HELD_BYTES = 32_000_000
 DROP = str.maketrans("", "", BLANKS)
@@ -101,16 +107,14 @@ def _log(batches, members: bool):
     yield from flush()
 
 
-def directory(counts: dict[int, int], bits: int, capacity: int) -> tuple[int, list[int]]:
-    """(global depth, bucket of each slot) from rows per ``bits``-bit prefix; buckets are numbered in key order.
+def directory(counts: np.ndarray, capacity: int) -> tuple[int, np.ndarray]:
+    """(global depth, bucket of each slot) from rows per hash prefix, all 2**bits of them; buckets are numbered in key order.
 
     One bucket to begin with; the first overfull bucket is split by its next bit until none is left or all bits are used
     (rows of one hash can't be split: they stay a chain). A split past the global depth doubles the directory.
     """
-    sums = np.zeros((1 << bits) + 1, np.int64)
-    for prefix, n in counts.items():
-        sums[prefix + 1] = n
-    sums = np.cumsum(sums)
+    bits = len(counts).bit_length() - 1
+    sums = np.concatenate(([0], np.cumsum(counts)))
     done, todo, depth = [], [(0, 0)], 0
     while todo:
         prefix, local = todo.pop()
@@ -119,12 +123,8 @@ def directory(counts: dict[int, int], bits: int, capacity: int) -> tuple[int, li
             depth = max(depth, local + 1)
             todo += [(2 * prefix + 1, local + 1), (2 * prefix, local + 1)]
         else:
-            done.append((prefix, local))
-    slots = [0] * (1 << depth)
-    for number, (prefix, local) in enumerate(done):
-        width = 1 << (depth - local)
-        slots[prefix * width : (prefix + 1) * width] = [number] * width
-    return depth, slots
+            done.append(local)
+    return depth, np.repeat(np.arange(len(done)), [1 << (depth - local) for local in done])
 
 
 def _owner(batches):
@@ -195,15 +195,20 @@ def _dealt(df: DataFrame, doc_id: str, text: str, members: bool, capacity: int)
     log = written(mapped(source, run, schema), "dedup-log", partition_by=["kind"])
     reps = log.where("kind = 'rep'")
     n = reps.count()
-    bits = max(1, min(22, int(np.ceil(np.log2(max(n, 1) / capacity + 1))) + 4))
-    counts = {r["p"]: r["n"] for r in reps.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("p")).agg(F.count("*").alias("n")).collect()}
-    depth, slots = directory(counts, bits, capacity)
+    bits = max(1, min(MOST_BITS, int(np.ceil(np.log2(max(n, 1) / capacity + 1))) + 4))
+    counted = reps.groupBy(F.shiftrightunsigned("key", 64 - bits).alias("p")).agg(F.count("*").alias("n")).toArrow()
+    counts = np.zeros(1 << bits, np.int64)
+    counts[counted.column("p").to_numpy()] = counted.column("n").to_numpy()
+    depth, slots = directory(counts, capacity)
     path = work_dir(spark, "dedup-directory")
-    spark.createDataFrame(list(enumerate(slots)), "slot long, bucket int").coalesce(1).write.parquet(path)
+    spark.createDataFrame(pa.table({"slot": np.arange(len(slots)), "bucket": slots.astype(np.int32)}), "slot long, bucket int").write.parquet(path)
     slot = F.shiftrightunsigned("key", 64 - depth) if depth else F.lit(0).cast("long")
-    owners = max(1, min(slots[-1] + 1, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    placed = reps.select("rep_id", "key", "points", "doc_id", "row_id", "rows", "row", slot.alias("slot")).join(F.broadcast(spark.read.schema("slot long, bucket int").parquet(path)), "slot")
-    owned = placed.withColumn("owner", F.floor(F.col("bucket") * owners / (slots[-1] + 1)).cast("int")).repartitionById(owners, "owner").sortWithinPartitions("bucket", "key")
+    buckets = int(slots[-1]) + 1
+    owners = max(math.ceil(buckets / BUCKETS), min(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    table = spark.read.schema("slot long, bucket int").parquet(path)
+    table = F.broadcast(table) if len(slots) <= BROADCAST_SLOTS else table
+    placed = reps.select("rep_id", "key", "points", "doc_id", "row_id", "rows", "row", slot.alias("slot")).join(table, "slot")
+    owned = placed.withColumn("owner", F.floor(F.col("bucket") * owners / buckets).cast("int")).repartitionById(owners, "owner").sortWithinPartitions("bucket", "key")
     return log, owned.select("rep_id", "key", "points", "doc_id", "row_id", "rows", F.col("row")[text].alias("t"), "row")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tablewright.llm import embedding_dedup, exact_dedup, simhash
+from tablewright.llm import embedding_dedup, exact_dedup, near_copies, simhash
 
 
 def test_exact(spark, odd):
@@ -48,10 +48,11 @@ def test_exact_chains_compare_bytes():
 
 
 def test_directory_doubles():
-    depth, slots = exact_dedup.directory({0: 10, 1: 1, 6: 3, 7: 3}, bits=3, capacity=4)
+    depth, slots = exact_dedup.directory(np.array([10, 1, 0, 0, 0, 0, 3, 3]), capacity=4)
     assert depth == 3
-    assert slots == [0, 1, 2, 2, 3, 3, 4, 5]
-    assert exact_dedup.directory({3: 2}, 3, 4) == (0, [0])
+    assert slots.tolist() == [0, 1, 2, 2, 3, 3, 4, 5]
+    depth, slots = exact_dedup.directory(np.array([0, 0, 0, 2, 0, 0, 0, 0]), 4)
+    assert (depth, slots.tolist()) == (0, [0])
 
 
 def slow_fingerprint(text, n):
@@ -207,4 +208,4 @@ def test_parities_never_claim_too_many_differences():
     for _ in range(200):
         x, y = (rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
         x, y = np.unique(x), np.unique(y)
-        assert simhash.least_difference(simhash.parities(x), simhash.parities(y)) <= len(np.setxor1d(x, y))
+        assert near_copies.least_difference(near_copies.parities(x), near_copies.parities(y)) <= len(np.setxor1d(x, y))
