@@ -190,16 +190,20 @@ def _tree(carried: DataFrame, widest: int) -> DataFrame:
 
 
 def taken(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``documents``."""
+    """(doc_id, size, source_size, target, taken) for every row of ``documents``.
+
+    Null texts have no words; null and repeated doc_ids keep a row each, told apart by their texts; rows equal in both may
+    stand for one another; other columns aren't read; an empty table gives no rows.
+    """
     narrow = word_sizes(documents.select(documents[doc_id].cast("long").alias("doc_id"), documents[source].alias("source"), documents[text].alias("text")))
-    sized = written(narrow.select(F.struct("row.doc_id", "row.source").alias("row"), "size"), "mixing-sizes")
-    drawn = mix(sized, "source", ["doc_id"])
+    sized = written(narrow.select(F.struct("row.doc_id", "row.source", F.xxhash64("row.text").alias("text")).alias("row"), "size"), "mixing-sizes")
+    drawn = mix(sized, "source", ["doc_id", "text"])
     discard(sized)  # the mix has been settled and written
     return drawn.select("row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(documents: DataFrame, text: str = "text", source: str = "source") -> DataFrame:
-    """The mix itself: each row of ``documents``, all columns, as many times as it is taken."""
+    """The mix itself: each row of ``documents``, all columns, as many times as it is taken; nulls and ties as in ``taken``."""
     sized = written(word_sizes(documents, text), "mixing-sizes")
     drawn = mix(sized, source, documents.columns)
     discard(sized)  # the mix has been settled and written
