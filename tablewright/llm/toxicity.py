@@ -12,6 +12,7 @@ together, and a short scan over the rows' products joins them. Long documents co
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from array import array
@@ -318,11 +319,16 @@ def held_out(doc_id: Column, of: int = 3, remainder: int = 1) -> Column:
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Field:
-    """The field from at most ``most`` labelled documents of each class outside the held-out fold, by smallest hash of doc_id."""
+    """The field from at most ``most`` labelled documents of each class outside the held-out fold, by smallest hash of doc_id.
+
+    A doc_id counts once, however many rows it has: with its largest label and its largest text. Null labels and other values
+    than 0 and 1 aren't used; without a toxic document every score is that of no toxic word.
+    """
     own = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("toxic")).where(~held_out(F.col("doc_id"))).where("toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
     chosen = own.where("toxic = 1").orderBy(order, "doc_id").limit(most).unionByName(own.where("toxic = 0").orderBy(order, "doc_id").limit(most))
     sample = documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = sample.groupBy("doc_id", "toxic").agg(F.max("text").alias("text"))
     counts = {r["toxic"]: r["n"] for r in own.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = ((words_of(r["text"]), r["toxic"]) for r in written(sample, "toxicity-sample").sortWithinPartitions("doc_id").toLocalIterator())
     return fit(rows, lambda y: counts.get(y, 0) / max(1, min(most, counts.get(y, 0))))
@@ -334,7 +340,7 @@ def score(documents: DataFrame, crf: Field) -> DataFrame:
     No shuffle; a task holds a slice of a batch. Nulls in other columns, repeated rows and any further columns stay as they are.
     """
     source = documents.select(F.struct("*").alias("row"), documents["text"].cast("string").alias("t"))
-    key = repr((sorted(crf.own.items())[:50], crf.bias, crf.document))
+    key = hashlib.sha256(repr([sorted(x.items()) if isinstance(x, dict) else x for x in vars(crf).values()]).encode()).hexdigest()
 
     def run(batches):
         cache = worker_cache("toxicity")
@@ -354,11 +360,15 @@ def score(documents: DataFrame, crf: Field) -> DataFrame:
 
 
 def score_documents(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """doc_id, held_out, score, predicted and spans for every row of ``documents``."""
+    """doc_id, held_out, score, predicted and spans for every row of ``documents``.
+
+    Null and empty texts score as texts without a toxic word; null and repeated doc_ids keep a row each, and equal texts get
+    equal scores; other columns aren't read; an empty table gives no rows.
+    """
     scored = score(documents.select(documents["doc_id"].cast("long").alias("doc_id"), documents["text"].alias("text")), train(documents, labels))
     return scored.select("row.doc_id", held_out(F.col("row.doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of ``documents``, all columns, that score below ``threshold``."""
+    """The rows of ``documents``, all columns whatever their names, that score below ``threshold``; nulls as in ``score_documents``."""
     return score(documents, train(documents, labels)).where(F.col("score") < threshold).select("row.*")
