@@ -24,12 +24,19 @@ from tablewright.llm.common import components, generator, local_forest, mapped,
 WIDTH = 8
 AXES = 2
 #: Home vectors of a cell that one part holds, and visitors that meet them at a time.
-PART = 2048
+PART = 4096
+VISITORS = 1024
 #: Relative slack of budgets for rounding; verification is exact.
 SLACK = 1e-9
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component below 1, so that no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -93,7 +100,7 @@ def _verify(batches, limit: float, least: float, width: int, seed: int):
             return
         hn, hs, hx = np.array([r[0] for r in homes]), np.array([r[1] for r in homes]), _vectors([r[2] for r in homes])
         vn, vs, vx = np.array([r[0] for r in visitors]), np.array([r[1] for r in visitors]), _vectors([r[2] for r in visitors])
-        hy, vy = rotate(unit(hx), seed), rotate(unit(vx), seed)
+        hy, vy, hx, vx = rotate(unit(hx), seed), rotate(unit(vx), seed), scaled(hx), scaled(vx)
         cuts = blocks_of(hy.shape[1], width)
         a, b = cuts[key[3]]
         budget = np.array([limit * (y - x) / hy.shape[1] * (1 + SLACK) for x, y in cuts])
@@ -130,7 +137,7 @@ def _verify(batches, limit: float, least: float, width: int, seed: int):
                         homes.append((node, size, raw))
                     else:
                         visitors.append((node, size, raw))
-                        if len(visitors) >= PART:
+                        if len(visitors) >= VISITORS:
                             yield from rows_of_pairs()
                             visitors = []
         yield from rows_of_pairs()
