@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import sys
-import tempfile
 import types
 import uuid
 from collections.abc import Iterator
@@ -15,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablewright.session import shared_folder
+
 #: The white space the contracts name: \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -35,12 +36,8 @@ def collecting() -> Iterator[list[str]]:
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder for one run below ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tablewright-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder for one run below ``spark.checkpoint.dir``, which a cluster must set."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     for paths in _collecting:
         paths.append(path)
     return path
