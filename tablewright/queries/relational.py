@@ -59,6 +59,7 @@ STATEMENTS: dict[str, tuple[str, str]] = {
     "agg_order_by": ("SELECT o_orderpriority, avg(o_totalprice) AS avg_price FROM orders GROUP BY o_orderpriority HAVING avg_price > 0 ORDER BY avg_price DESC", ""),
     "agg_order_limit": ("SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey ORDER BY n DESC, o_custkey LIMIT 5 OFFSET 2", ""),
     "group_by_no_agg": ("SELECT n_regionkey FROM nation GROUP BY n_regionkey", ""),
+    "agg_first_value": ("SELECT n_regionkey, r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey", "SELECT n_regionkey, r_name, count(*) AS nations FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY n_regionkey, r_name"),
     # windows
     "win_row_number": ("SELECT o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS place FROM orders", ""),
     "win_rank": ("SELECT p_partkey, CAST(rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS place FROM part", ""),

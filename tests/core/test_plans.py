@@ -212,6 +212,11 @@ def test_strips_through_common_tables(spark):
     ("WITH t AS (SELECT * FROM t WHERE id = 1) SELECT t.id FROM t", [(1,)]),
     ("SELECT t.id, x.id AS other FROM t JOIN t x ON t.id = x.id WHERE t.id = 1", [(1, 1)]),
     ("SELECT u.tag AS t FROM u WHERE tid = 1", [("a",)]),
+    ("SELECT v, name, count(*) AS n FROM t WHERE id < 3 GROUP BY v ORDER BY v", [(10.0, "Ann", 1), (20.0, "bob", 1)]),
+    ("SELECT x.v AS w, max(x.id) AS m, x.secret AS s FROM t x WHERE id = 3 GROUP BY x.v HAVING m > 0", [(20.0, 3, "y")]),
+    ("SELECT sum(n) AS s FROM (SELECT v, name, count(*) AS n FROM t GROUP BY v) a", [(4,)]),
+    ("SELECT v + 1 AS w, count(*) AS n FROM t GROUP BY v + 1 ORDER BY w LIMIT 1", [(6.0, 1)]),
+    ("SELECT v, count(*) AS n FROM t GROUP BY ROLLUP (v) ORDER BY n DESC LIMIT 1", [(None, 4)]),
     ("SELECT DISTINCT ON (v) v, id FROM (SELECT * FROM t WHERE v = 20) z", [(20.0, 2)]),
 ])
 def test_dialect_conventions(spark, sql, rows):

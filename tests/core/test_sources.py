@@ -62,6 +62,15 @@ def test_scalars(spark):
     assert key.select(scalars.key_family(F.col("k"))).first()[0] == "s:{uuid}:{id}:{hex}"
 
 
+def test_inferred_comments(spark):
+    """One name for each row of the table, and the order where two rows fit."""
+    want = {"user_id": "标识符", "title": "名称", "created_date": "时间", "total": "金额/数量", "order_state": "状态", "is_new": "标志位", "email": "电子邮箱", "mobile": "电话号码", "ip_addr": "IP 地址", "home_url": "URL", "avatar": "图片 URL", "desc": "描述", "api_key": "键", "kind_type": "类型", "body_json": "JSON 数据", "update_time_id": "标识符", "zip": "示例: x", "blob": ""}
+    df = spark.createDataFrame([(n, "text", "x" if n == "zip" else "") for n in want], "n string, t string, s string")
+    got = {r.n: r.c for r in df.select("n", scalars.inferred_comment(F.col("n"), F.col("t"), F.col("s")).alias("c")).collect()}
+    assert got == want
+    assert df.limit(1).select(scalars.inferred_comment(F.lit("x"), F.lit("y"), F.lit("a" * 25))).first()[0] == "示例: " + "a" * 20 + "..."
+
+
 def test_workbook(spark, tmp_path):
     book = xlsx.write_book({"first": [["id", "name"], [1, "a & b"], [2, None]], "second": [["x"], [1.5]]})
     (tmp_path / "w.xlsx").write_bytes(book)
