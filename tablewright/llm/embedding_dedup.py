@@ -2,7 +2,7 @@
 
 Unit vectors with cosine >= c lie within squared distance 2 - 2 c. A random rotation (signs and a Walsh-Hadamard transform)
 spreads it evenly; of the rotated vectors' blocks of ``width`` coordinates, at least one then holds a share of it that is
-no more than the block's share of the coordinates. Each block is range-joined under that budget: a grid on ``AXES`` of its
+no more than the block's share of the coordinates. Each block is range-joined under that budget: a grid on some of its
 coordinates, with cells twice as wide as the budget's radius, sends a vector to every cell that its ball meets; in the home
 cell of the other vector the block distance decides on candidates, and the cosine of the original vectors in double
 precision verifies them. A pair is taken at the first block that holds it only, so nothing is counted twice.
@@ -14,6 +14,8 @@ the links they verify, never the pairs.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 from tablewright.llm.common import components, generator, local_forest, mapped, written
 
 WIDTH = 8
-AXES = 2
+#: Coordinates of a block that its grid has: the more vectors a label has, the more, as each takes a vector to 1.8 times as many
+#: cells and leaves about a third fewer pairs to compare. Which pairs are linked doesn't depend on it.
+LEAST_AXES, MOST_AXES = 2, 5
+CELLS_AN_AXIS = 2.2
 #: Home vectors of a cell that one part holds, and visitors that meet them at a time.
 PART = 4096
 VISITORS = 1024
@@ -61,11 +66,16 @@ def blocks_of(n: int, width: int) -> list[tuple[int, int]]:
     return [(a, min(a + width, n)) for a in range(0, n, width)]
 
 
+def axes_for(vectors: int) -> int:
+    """As many as leave some ``PART`` home vectors in a cell, within bounds."""
+    return max(LEAST_AXES, min(MOST_AXES, math.ceil(math.log(max(vectors, 1) / PART + 1) / math.log(CELLS_AN_AXIS))))
+
+
 def _vectors(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), "<f8").reshape(len(raw), -1)
 
 
-def _place(batches, limit: float, width: int, seed: int):
+def _place(batches, limit: float, width: int, seed: int, axes: int):
     """Rows (dim, block, cell, home) of each class for every cell it visits."""
     for batch in batches:
         groups: dict[int, list[int]] = {}
@@ -78,7 +88,7 @@ def _place(batches, limit: float, width: int, seed: int):
                 y = rotate(unit(_vectors([raw[k] for k in rows])), seed)
                 for number, (a, b) in enumerate(blocks_of(y.shape[1], width)):
                     reach = np.sqrt(limit * (b - a) / y.shape[1] * (1 + SLACK)) * (1 + SLACK)
-                    grid = y[:, a : min(b, a + AXES)] / (2 * reach)
+                    grid = y[:, a : min(b, a + axes)] / (2 * reach)
                     base = np.floor(grid).astype(np.int64)
                     for step in np.ndindex(*[3] * grid.shape[1]):
                         move = np.array(step) - 1
@@ -173,8 +183,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, width: int = WIDTH,
     rows = written(mapped(own.withColumn("fine", fine), pack, "vec_id bigint,label string,raw binary").withColumn("row", F.monotonically_increasing_id()), "vectors")
     classes = written(rows.where("raw IS NOT NULL").groupBy("label", "raw").agg(F.min("vec_id").alias("least"), F.count("*").alias("size")).withColumn("node", F.monotonically_increasing_id()), "vector-classes")
 
+    axes = axes_for(classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0)
+
     def place(batches):
-        yield from _place(batches, limit, width, seed)
+        yield from _place(batches, limit, width, seed, axes)
 
     placed = written(mapped(classes.select("node", "label", "raw"), place, "node bigint,label string,dim int,block int,cell string,home boolean"), "vector-cells")
     where = ["label", "dim", "block", "cell"]

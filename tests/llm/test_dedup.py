@@ -123,7 +123,7 @@ def test_near_copies_go_and_others_stay(spark):
     assert left == set(range(30)) | {200, 201, 202}
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(60, 16))
     rows = [(k, [float(x) for x in v], k % 3) for k, v in enumerate(base)]
@@ -139,7 +139,9 @@ def test_embeddings(spark):
     root = components(sorted(fine), linked)
     degree = {a: sum(linked(a, b) for b in fine if b != a) for a in fine}
     assert max(degree.values()) > 3
-    for width in (8, 5):
+    assert [embedding_dedup.axes_for(n) for n in (0, 10_000, 100_000, 10**9)] == [2, 2, 5, 5]
+    for width, axes in ((8, 2), (5, 4)):
+        monkeypatch.setattr(embedding_dedup, "LEAST_AXES", axes)
         got = embedding_dedup.near_duplicates(df, 0.93, width).collect()
         assert len(got) == len(rows)
         for r in got:
