@@ -14,12 +14,12 @@ probability 1.3e-8.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import components, map_rows, mapped, written
+from tablewright.llm.common import components, map_rows, written
+from tablewright.llm.near_copies import unique_documents
 
 SEED = 42
 SEGMENTS = 21
@@ -105,169 +105,5 @@ def near_duplicates(documents: DataFrame, words: int = 3, most: int = MOST_BITS,
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Beyond a few bits the embedding's grid no longer tells pairs apart: at a shingle similarity of 0.8 some 15 % of the bits
-# differ. Near copies are found on the shingles themselves, exactly at every size: of two documents that are similar enough,
-# the first shingles of each in one common order (a prefix of some 20 %) share one. Shingles that many documents of a sample
-# hold come last in that order; it decides how many candidates there are, never which pairs are linked.
-SAMPLE_ROWS = 20_000
-COMMON = 4
-MOST_COMMON = 200_000
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct shingles; a text of fewer words is one shingle, one without words has none."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
-    n = max(1, len(parts) - words + 1)
-    total = np.zeros(n, np.uint64)
-    for k in range(min(words, len(parts))):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        total = (total ^ (total >> np.uint64(shift))) * np.uint64(factor)
-    return np.unique(total ^ (total >> np.uint64(31)))
-
-
-def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
-    """How many first shingles of ``n`` share one with those of any similar document; and with those of one at least as long."""
-    return tuple(n - int(np.ceil(share * n - 1e-9)) + 1 for share in (similarity, 2 * similarity / (1 + similarity)))
-
-
-def parities(own: np.ndarray) -> bytes:
-    """For each of 2 n or more hash slots, a power of two, whether an odd number of ``own`` fall into it."""
-    size = max(64, 1 << int(2 * len(own) - 1).bit_length())
-    slots = np.bincount((own & np.uint64(size - 1)).view(np.int64), minlength=size)
-    return np.packbits((slots & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
-def least_difference(x: bytes, y: bytes) -> int:
-    """So many shingles at least are in one only of two sets with these parities."""
-    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
-    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
-
-
-def hopeful(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """``pairs`` (a, b) without those that the parities (node, n, bits) show to differ in too many shingles; none alike goes."""
-    side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits{x}"))
-    held = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches):
-        for batch in batches:
-            most = (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * ((1 - similarity) / (1 + similarity)) + 1e-9
-            found = [least_difference(x, y) for x, y in zip(batch.column("bitsa").to_pylist(), batch.column("bitsb").to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(np.array(found) <= most))
-
-    return mapped(held.select("a", "b", "na", "nb", "bitsa", "bitsb"), run, "a bigint,b bigint")
-
-
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets (node, shingles) have that Jaccard similarity at least."""
-    held = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-
-    def run(batches):
-        for batch in batches:
-            alike = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                alike.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    return mapped(held.select("a", "b", "x", "y"), run, "a bigint,b bigint")
-
-
-def unique_documents(documents: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents``, all columns, without near duplicates: of each group the smallest doc_id stays (null last).
-
-    Two documents are linked when the Jaccard similarity of their sets of shingles is ``similarity`` at least.
-    Equal sets are one node; texts without words aren't linked; an empty table gives no rows.
-    """
-    spark = documents.sparkSession
-    source = documents.select(F.struct("*").alias("row"), documents[text].cast("string").alias("t"))
-    every = max(1, documents.count() // SAMPLE_ROWS)
-
-    def shingles(batches):
-        for batch in batches:
-            for t in batch.column("t"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), words).view(np.int64))], names=["h"])
-
-    sample = source.select("t").where(F.pmod(F.xxhash64("t"), F.lit(every)) == 0)
-    seen = mapped(sample, shingles, "h bigint").groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") >= COMMON)
-    top = sorted((r["h"], r["c"]) for r in seen.orderBy(F.desc("c"), "h").limit(MOST_COMMON).collect())
-    common = spark.sparkContext.broadcast((np.array([h for h, _ in top], np.int64), np.array([c for _, c in top], np.int64)))
-
-    def first_shingles(batches):
-        hashes, counts = common.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part, made = batch.slice(at, 512), []
-                for t in part.column("t").to_pylist():
-                    own = shingle_set(t, words)
-                    if not len(own):
-                        made.append((None, 0, None, None))
-                        continue
-                    h, rank = own.view(np.int64), np.zeros(len(own), np.int64)
-                    if len(hashes):
-                        place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-                        rank = np.where(hashes[place] == h, counts[place], 0)
-                    first = np.lexsort((h, rank))[: prefix_sizes(len(h), similarity)[0]]
-                    node = np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64)
-                    made.append((int(node), len(h), h[first].tobytes(), parities(own)))
-                node, n, prefix, odd = zip(*made, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(prefix, pa.binary()), pa.array(odd, pa.binary())], names=["row", "node", "n", "prefix", "bits"])
-
-    rows = mapped(source, first_shingles, f"row {source.schema['row'].dataType.simpleString()},node bigint,n int,prefix binary,bits binary")
-    rows = written(rows.withColumn("id", F.monotonically_increasing_id()), "near-rows")
-    # Any row of a node will do: they hold the same shingles.
-    classes = written(rows.where("n > 0").select("node", "n", "prefix", "bits", "id").dropDuplicates(["node"]), "near-classes")
-
-    def points(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                n = part.column("n").to_numpy()
-                firsts = [np.frombuffer(x, np.int64) for x in part.column("prefix").to_pylist()]
-                short = [np.arange(len(x)) < prefix_sizes(int(k), similarity)[1] for x, k in zip(firsts, n, strict=True)]
-                where = pa.array(np.repeat(np.arange(part.num_rows), [len(x) for x in firsts]))
-                if len(where):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), part.column("node").take(where), part.column("n").take(where), pa.array(np.concatenate(short))], names=["point", "node", "n", "short"])
-
-    bucket = Window.partitionBy("point")
-    met = mapped(classes.select("node", "n", "prefix"), points, "point bigint,node bigint,n int,short boolean")
-    met = met.withColumn("c", F.min(F.struct("node", "n")).over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1").drop("size")
-    met = written(met, "near-points")
-    near = F.least("na", "nb") >= F.ceil(F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
-
-    def full_sets(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle_set(t, words).tobytes() for t in part.column("t").to_pylist()], pa.binary())], names=["node", "shingles"])
-
-    def linked(pairs):
-        needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(classes, "node").select("id", "node")
-        texts = rows.select("id", F.col("row")[text].cast("string").alias("t")).join(needed, "id").select("node", "t")
-        return written(verified(pairs, written(mapped(texts, full_sets, "node bigint,shingles binary"), "near-sets"), similarity), "near-edges")
-
-    # Each bucket's documents against its first, which collapses large groups of near copies.
-    first = met.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb")).where("a != b").where(near).select("a", "b").distinct()
-    tried = written(hopeful(first, classes, similarity), "near-tried")
-    edges = linked(tried)
-    # Then every two of a bucket that aren't connected by that: no pair is left out, and none inside a group is made.
-    # A group's members stay in one row of a bucket until they meet another group's.
-    member = F.struct("node", "n", "short")
-    groups = met.join(components(edges, "near-groups"), "node", "left").groupBy("point", F.coalesce("root", "node").alias("root")).agg(F.collect_list(member).alias("of"))
-    left, right = groups.select("point", F.col("root").alias("ra"), F.col("of").alias("x")), groups.select("point", F.col("root").alias("rb"), F.col("of").alias("y"))
-    cross = left.join(right, "point").where("ra < rb").select(F.explode("x").alias("x"), "y").select("x", F.explode("y").alias("y"))
-    cross = cross.where("x.n <= y.n AND x.short OR y.n <= x.n AND y.short").select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")).where(near).select("a", "b").distinct()
-    more = written(hopeful(cross, classes, similarity).join(tried, ["a", "b"], "left_anti"), "near-tried")
-    if not more.isEmpty():
-        edges = edges.unionByName(linked(more))
-    roots = components(edges, "near-links")
-    keyed = rows.where("n > 0").select("id", "node", F.col("row")[doc_id].cast("long").alias("d"))
-    labelled = keyed.join(roots, "node", "left").select("id", "d", F.coalesce("root", "node").alias("root"))
-    stays = labelled.groupBy("root").agg(F.min(F.struct(F.col("d").isNull(), "d", "id")).alias("best")).select(F.col("best.id").alias("id"))
-    gone = written(keyed.select("id").join(stays, "id", "left_anti"), "near-gone")
-    # One strategy at every size: what goes may grow with the input, so it isn't broadcast.
-    return rows.select("id", "row").join(gone.hint("merge"), "id", "left_anti").select("row.*")
+#: Beyond a few bits the embedding's grid no longer tells pairs apart; near copies of whole texts are found on shingles.
+__all__ = ["fingerprint", "fingerprints", "links", "near_duplicates", "unique_documents"]

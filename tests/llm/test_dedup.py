@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -211,3 +212,45 @@ def test_parities_never_claim_too_many_differences():
         x, y = (rng.integers(0, 400, int(rng.integers(1, 300))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) for _ in range(2))
         x, y = np.unique(x), np.unique(y)
         assert near_copies.least_difference(near_copies.parities(x), near_copies.parities(y)) <= len(np.setxor1d(x, y))
+
+
+def near_rows(rng, sizes):
+    """Documents of one point: node, n, short, root, parities; and their sets."""
+    base = rng.choice(10**6, 400, replace=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    sets = [np.unique(np.concatenate((rng.permutation(base[:n])[: int(n * 0.96)], rng.integers(0, 10**9, int(n * rng.random() * 0.1)).astype(np.uint64)))) for n in sizes]
+    return sets, [(k, len(x), True, k % 7, near_copies.parities(x)) for k, x in enumerate(sets)]
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_compared_parts_lose_no_pair(parts):
+    rng = np.random.default_rng(11)
+    sets, rows = near_rows(rng, rng.integers(150, 400, 120))
+    dealt = []
+    for p in range(parts):
+        dealt += [(5, p, False, *r) for r in rows if r[0] % parts == p]
+        dealt += [(5, p, True, *r) for r in rows if r[0] % parts > p]
+    dealt += [(6, 0, False, *r) for r in rows[:9]]
+    names = ("point", "part", "visits", "node", "n", "short", "root", "bits")
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*dealt[at : at + 50], strict=True)), strict=True))) for at in range(0, len(dealt), 50)]
+    got = [p for b in near_copies._compared(batches, 0.8) for p in zip(*b.to_pydict().values(), strict=True)]
+    assert len(set(got)) == len(got)
+    alike = {(a, b) for b in range(120) for a in range(b) if a % 7 != b % 7 and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))}
+    assert alike and alike <= set(got)
+    assert len(got) < 3 * len(alike) + 200
+
+
+def test_prefixes_share_a_point():
+    """Of every two sets that are similar enough, the prefixes by any common order share a member, also by the shorter rule."""
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        n = int(rng.integers(1, 60))
+        x = set(rng.choice(200, n, replace=False).tolist())
+        y = {int(rng.integers(200)) if rng.random() < 0.1 else v for v in x}
+        if len(x & y) < 0.8 * len(x | y):
+            continue
+        order = dict(zip(range(200), rng.permutation(200).tolist(), strict=True))
+        long, short = zip(*(near_copies.prefix_sizes(np.array([len(s)]), 0.8) for s in (x, y)), strict=True)
+        first = [sorted(s, key=order.get) for s in (x, y)]
+        assert set(first[0][: long[0][0]]) & set(first[1][: long[1][0]])
+        less = 0 if len(x) <= len(y) else 1
+        assert set(first[less][: short[less][0]]) & set(first[1 - less][: long[1 - less][0]])
