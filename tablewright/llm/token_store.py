@@ -101,8 +101,8 @@ def _segments(rows, vocabulary: str, end_id: int, spaces: bool):
 def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int, spaces: bool = False, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of every whole text, each document followed by ``end_id``, in ascending doc_id order below ``path``.
 
-    Null texts are empty; null doc_ids come first; equal doc_ids are ordered by text; columns other than the two named
-    ones are not read; an empty table gives an empty file set. Documents are range-partitioned once, by doc_id and a hash of
+    Null texts are empty; null doc_ids come first; equal doc_ids are ordered by a hash of the text, then the text; columns other
+    than the two named ones are not read; an empty table gives an empty file set. Documents are range-partitioned once, by doc_id and a hash of
     the text, so many rows of one doc_id, or none, still lie in several shards; a task holds one segment. The manifest has a
     row for each shard: the tokens before it.
     """
