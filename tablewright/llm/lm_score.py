@@ -1,9 +1,11 @@
 """Marginal document likelihood over a subword lattice.
 
 The vocabulary is an existing one; a piece's weight is its log share among the training texts' pieces, first as the existing
-tokenizer cuts them, then as expected over all ways to cut them (``ROUNDS`` forward-backward passes). A word's probability
-sums over all ways to cut it into pieces: a log-space forward recursion over its lattice. Pieces never cross words, so a
-document's is the sum of its words' logs and that of the end.
+tokenizer cuts them, then as expected over all ways to cut them (``ROUNDS`` forward-backward passes). The vocabulary's own
+scores are used where they are log probabilities; those of a merge-based model are ranks of merges, which can't weigh one way
+to cut a word against another, so there the shares take their place. A word's probability sums over all ways to cut it into
+pieces: a log-space forward recursion over its lattice. Pieces never cross words, so a document's is the sum of its words'
+logs and that of the end. Words of one length run together; a very long one runs by itself, a stretch of it at a time.
 
 No text meets a corpus-wide table. Scan tasks number the words of each block of documents and write documents as word
 numbers and one row for each distinct word of the block. Those rows meet on the word, where counts are summed and each
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import mapped, worker_cache, written
+from tablewright.llm.common import discard, mapped, worker_cache, written
 
 #: Bytes of text in a block; its distinct words are held by one task.
 BLOCK_BYTES = 32_000_000
@@ -30,6 +32,14 @@ BLOCK_BYTES = 32_000_000
 SMOOTHING = 0.1
 #: Forward-backward passes over the training words that weigh the pieces anew.
 ROUNDS = 2
+#: Characters of distinct words that one task runs the lattices of, and tasks there are at most.
+TASK_CHARS = 1_000_000
+MOST_TASKS = 4096
+#: Distinct words that run together.
+WORDS = 50_000
+#: Characters beyond which a word runs by itself, and of a stretch of it.
+LONG = 1000
+STRETCH = 20_000
 SPACE = "▁"
 LN10 = math.log(10)
 LOG_DDL = "kind string,block bigint,doc_id bigint,train boolean,ids binary,id int,word binary,c bigint"
@@ -94,12 +104,30 @@ class Lattice:
         own = {p: v for p, v in zip(pieces, logs, strict=True)}
         self.longest = max(map(len, own), default=1)
         self.bytes_at = bytes_at
-        pairs = sorted((self.key(p), v, k) for k, (p, v) in enumerate(own.items()))
-        self.keys = np.array([k for k, _, _ in pairs], np.uint64)
-        self.logs = np.array([v for _, v, _ in pairs])
-        self.place = np.array([n for _, _, n in pairs])  # of a key among the pieces given
+        pairs = sorted((self.key(p), v, k, p) for k, (p, v) in enumerate(own.items()))
+        self.keys = np.array([k for k, *_ in pairs], np.uint64)
+        self.logs = np.array([v for _, v, *_ in pairs])
+        self.place = np.array([n for *_, n, _ in pairs])  # of a key among the pieces given
+        self.codes = np.zeros((len(pairs), self.longest), np.uint32)
+        for n, (*_, p) in enumerate(pairs):
+            self.codes[n, : len(p)] = [ord(c) for c in p]
+        self.sizes = np.array([len(p) for *_, p in pairs])
+        # One byte for each value of a key's upper bits: most strings that are no piece end here.
+        self.some = np.zeros(1 << 20, bool)
+        self.some[self.keys >> np.uint64(44)] = True
         self.chars: dict[int, float] = {}
 
+    def found(self, h: np.ndarray, codes: np.ndarray, at: int, to: int) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, places in the table) of the rows whose characters ``at`` to ``to`` are a piece; ``h`` are the strings' hashes."""
+        rows = np.flatnonzero(self.some[h >> np.uint64(44)])
+        if not rows.size:
+            return rows, rows
+        place = np.minimum(np.searchsorted(self.keys, h[rows]), len(self.keys) - 1)
+        same = (self.keys[place] == h[rows]) & (self.sizes[place] == to - at)
+        rows, place = rows[same], place[same]
+        same = (self.codes[place, : to - at] == codes[rows, at:to]).all(axis=1)
+        return rows[same], place[same]
+
     @classmethod
     def key(cls, piece: str) -> int:
         h = 0
@@ -122,13 +150,11 @@ class Lattice:
             for j in range(i + 1, min(n, i + self.longest) + 1):
                 with np.errstate(over="ignore"):
                     h = h * self.BASE + steps[:, j - 1]
-                at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-                hit = self.keys[at] == h
-                rows = np.flatnonzero(hit)
+                rows, at = self.found(h, codes, i, j)
                 if rows.size:
-                    yield i, j, rows, self.logs[at[rows]], self.place[at[rows]]
+                    yield i, j, rows, self.logs[at], self.place[at]
                 if j == i + 1 and rows.size < m:
-                    rows = np.flatnonzero(~hit)
+                    rows = np.setdiff1d(np.arange(m), rows, assume_unique=True)
                     yield i, j, rows, np.array([self.by_bytes(c) for c in codes[rows, i].tolist()]), np.full(rows.size, -1)
 
     def same_length(self, codes: np.ndarray, weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
@@ -152,6 +178,57 @@ class Lattice:
                     np.add.at(counts, piece, weights[rows] * np.exp(alpha[i, rows] + through - alpha[n, rows]))
         return alpha[n]
 
+    def stretch(self, codes: np.ndarray, start: int, end: int) -> list[list[tuple[int, float, int]]]:
+        """For each end j in (start, end] of one word: its pieces as (length, log, piece); piece is -1 for bytes."""
+        out: list[list[tuple[int, float, int]]] = [[] for _ in range(end - start)]
+        low = max(0, start + 1 - self.longest)
+        # Row r of the windows is the word from low + r on.
+        padded = np.concatenate((codes[low:end], np.zeros(self.longest, codes.dtype)))
+        windows = np.lib.stride_tricks.sliding_window_view(padded, self.longest)[: end - low]
+        steps, h = windows.astype(np.uint64) + np.uint64(1), np.zeros(end - low, np.uint64)
+        for size in range(1, self.longest + 1):
+            with np.errstate(over="ignore"):
+                h = h * self.BASE + steps[:, size - 1]
+            rows, at = self.found(h, windows, 0, size)
+            hits = set()
+            for r, log, piece in zip(rows.tolist(), self.logs[at].tolist(), self.place[at].tolist(), strict=True):
+                j = low + r + size
+                hits.add(r)
+                if start < j <= end:
+                    out[j - start - 1].append((size, log, piece))
+            if size == 1:
+                for r in range(start - low, end - low):
+                    if r not in hits:
+                        out[low + r - start].append((1, self.by_bytes(int(codes[low + r])), -1))
+        return out
+
+    def long_word(self, word: str, weight: float = 0.0, counts: np.ndarray | None = None) -> float:
+        """As ``same_length`` for one long word: two numbers are held for each character, and the pieces of one stretch."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), "<u4")
+        n, exp, log1p = len(codes), math.exp, math.log
+        alpha = [0.0]
+        for start in range(0, n, STRETCH):
+            for edges in self.stretch(codes, start, min(n, start + STRETCH)):
+                j = len(alpha)
+                into = [alpha[j - size] + log for size, log, _ in edges if size <= j]
+                top = max(into)
+                alpha.append(top + log1p(sum(exp(x - top) for x in into)))
+        if counts is not None:
+            beta = [-math.inf] * n + [0.0]
+            for start in reversed(range(0, n, STRETCH)):
+                for back, edges in enumerate(reversed(self.stretch(codes, start, min(n, start + STRETCH)))):
+                    j = min(n, start + STRETCH) - back
+                    for size, log, piece in edges:
+                        i = j - size
+                        if i < 0:
+                            continue
+                        through = log + beta[j]
+                        top = max(beta[i], through)
+                        beta[i] = top + log1p(exp(beta[i] - top) + exp(through - top))
+                        if piece >= 0:
+                            counts[piece] += weight * exp(alpha[i] + through - alpha[n])
+        return alpha[n]
+
     def __call__(self, words: list[str], weights: np.ndarray | None = None, counts: np.ndarray | None = None) -> np.ndarray:
         out = np.empty(len(words))
         lengths = np.array([len(w) for w in words])
@@ -159,6 +236,10 @@ class Lattice:
         cuts = [0, *(np.flatnonzero(np.diff(lengths[order])) + 1).tolist(), len(words)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             n = int(lengths[order[a]]) if b > a else 0
+            if n > LONG:
+                for k in order[a:b].tolist():
+                    out[k] = self.long_word(words[k], 0.0 if weights is None else float(weights[k]), counts)
+                continue
             for at in range(a, b, max(1, 400_000 // (n + 1))):
                 rows = order[at : min(b, at + max(1, 400_000 // (n + 1)))]
                 codes = np.frombuffer("".join(words[k] for k in rows).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), n)
@@ -166,6 +247,18 @@ class Lattice:
         return out
 
 
+def _gathered(batches):
+    """Batches joined up to ``WORDS`` rows, as the lattice runs all words of one length at once."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= WORDS:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def _processor(model: str):
     cache = worker_cache("lm")
     if ("pieces", model) not in cache:
@@ -200,7 +293,7 @@ def expected_counts(words: DataFrame, parts, n: int) -> DataFrame:
 
     def run(batches):
         lattice, total = Lattice(*parts.value), np.zeros(n)
-        for batch in batches:
+        for batch in _gathered(batches):
             lattice([SPACE + w.decode() for w in batch.column("word").to_pylist()], batch.column("c").to_numpy().astype(float), total)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["at", "n"])
@@ -237,7 +330,11 @@ def lm_scores(documents: DataFrame, model: str, of: int = 7, remainder: int = 2)
     docs = log.where("kind = 'doc'").select("block", "doc_id", "train", "ids")
     words = written(rows.groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     ends = docs.where("train").count()
-    known, tokens = words.where("c > 0").agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
+    seen = F.col("c") > 0
+    known, tokens, chars = words.agg(F.count_if(seen), F.coalesce(F.sum(F.when(seen, F.col("c"))), F.lit(0)), F.coalesce(F.sum(F.length("word") + 1), F.lit(0))).first()
+    # The lattices cost time by characters, not by bytes of the table.
+    counted, words = words, written(words.repartition(max(1, min(MOST_TASKS, math.ceil(chars / TASK_CHARS))), "word"), "lm-words")
+    discard(counted)
     n_all, n_distinct = tokens + ends, known + (ends > 0)
     share = documents.sparkSession.sparkContext.broadcast  # of what is as large as the vocabulary
     counts = {r["piece"]: r["n"] for r in piece_counts(words, model).collect()}
@@ -251,7 +348,7 @@ def lm_scores(documents: DataFrame, model: str, of: int = 7, remainder: int = 2)
 
     def run_lattice(batches):
         lattice = Lattice(*bound.value)
-        for batch in batches:
+        for batch in _gathered(batches):
             logs = lattice([SPACE + w.decode() for w in batch.column("word").to_pylist()]) / LN10
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(logs)], names=["word", "c", "lp"])
 
@@ -288,5 +385,8 @@ def lm_scores(documents: DataFrame, model: str, of: int = 7, remainder: int = 2)
                 held = pa.compute.invert(part.column("train"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), held, pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n_all] * len(out), pa.int64()), pa.array(base), pa.array(model_score)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    met = back.unionByName(there).repartition("block").sortWithinPartitions("block", "kind", "id")
+    # Blocks are numbered by task and, within it, in order, so each gets a partition of its own.
+    tasks, most = docs.agg(F.max(F.shiftright("block", 24)), F.max(F.col("block").bitwiseAND(F.lit((1 << 24) - 1)))).first()
+    number = (F.shiftright("block", 24) + F.col("block").bitwiseAND(F.lit((1 << 24) - 1)) * ((tasks or 0) + 1)).cast("int")
+    met = back.unionByName(there).repartitionById(((tasks or 0) + 1) * ((most or 0) + 1), number).sortWithinPartitions("block", "kind", "id")
     return mapped(met, score, "doc_id bigint,held_out boolean,n_tokens bigint,n_known bigint,train_tokens bigint,base_score double,score double")
