@@ -84,7 +84,8 @@ def links(nodes: DataFrame, most: int = MOST_BITS, segments: int = SEGMENTS) ->
     cells = placed.select("fp", F.explode(F.array(*(F.struct((F.col("home") + F.lit(s).cast("long")).alias("point"), F.lit(n).cast("short").alias("step")) for n, s in enumerate(steps)))).alias("c")).select("fp", "c.point", "c.step")
     a, b = cells.select("point", F.col("fp").alias("a"), F.col("step").alias("sa")), cells.select("point", F.col("fp").alias("b"), F.col("step").alias("sb"))
     # Equal steps onto one point mean equal homes: such pairs are taken at home alone.
-    found = a.join(b, "point").where("a < b AND (sa != sb OR sa = 0)")
+    # Spark takes the cells for as large as the fingerprints' files, so without the hint it would send all of them to the driver.
+    found = a.hint("merge").join(b, "point").where("a < b AND (sa != sb OR sa = 0)")
     distance = sum((F.abs(x - y) for x, y in zip(_counts(F.col("a"), segments), _counts(F.col("b"), segments), strict=True)), F.lit(0).cast("long"))
     return found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most).where(distance <= most).select("a", "b")
 
@@ -99,10 +100,11 @@ def near_duplicates(documents: DataFrame, words: int = 3, most: int = MOST_BITS,
     prints = written(fingerprints(documents, words, doc_id, text), "simhash")
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     roots = components(links(classes, most, segments), "simhash-links")
-    labelled = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # What grows with the input isn't broadcast, at any size of its files.
+    labelled = classes.join(roots.hint("merge"), classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = labelled.join(named, "root").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = labelled.join(named.hint("merge"), "root").select("fp", "component_id")
+    return prints.join(of.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: Beyond a few bits the embedding's grid no longer tells pairs apart; near copies of whole texts are found on shingles.

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tablewright.llm import embedding_dedup, exact_dedup, near_copies, simhash
 
@@ -108,6 +109,16 @@ def test_simhash_components(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_no_join_of_simhash_is_broadcast(spark, tmp_path):
+    """Grid cells are 43 times the fingerprints whose files Spark goes by; nothing that grows with the input may reach the driver."""
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) == 10 << 20
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(f"{tmp_path}/fp")
+    assert "Broadcast" not in plan(simhash.links(spark.read.parquet(f"{tmp_path}/fp")))
+    rows = [(k, f"a text of its own {k % 50} and some more") for k in range(100)]
+    assert "Broadcast" not in plan(simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")))
+
+
 def test_near_copies_go_and_others_stay(spark):
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in range(4000)]
