@@ -49,7 +49,10 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: shingles of five words, similarity of 0.8 or more."""
+    """One row of each group of near duplicates: shingles of five words, similarity of 0.8 or more.
+
+    Candidates come from op3's grid of segment popcounts; those it can't tell apart, from an exact prefix filter.
+    """
     return simhash.unique_documents(docs)
 
 

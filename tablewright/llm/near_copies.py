@@ -1,7 +1,7 @@
 """Near copies: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more, by an exact prefix filter.
 
-SimHash's grid can't tell such pairs apart: at that similarity some 15 % of the bits differ. Of two documents that are similar
-enough, the first shingles of each (a prefix of some 20 %) in one common order share one, so documents meet on those. The order
+Pairs that SimHash's grid has found come in as candidates and are verified first; the filter finds the others, which the grid
+can't tell apart: at a similarity of 0.8 some 15 % of the bits differ. Of two documents that are similar enough, the first shingles of each (a prefix of some 20 %) in one common order share one, so documents meet on those. The order
 goes by the number of documents that hold a shingle: what only one document holds comes first and meets nothing, so a document
 with a prefix of such shingles is done, and only near copies, and texts made mostly of shared passages, take part in what
 follows. The order decides how many pairs are tried, never which are linked.
@@ -10,8 +10,8 @@ follows. The order decides how many pairs are tried, never which are linked.
    task; a shingle that many documents of a block hold goes once, and comes last in the order for everybody.
 2. A part's task counts documents and answers each block about shingles that more than one document holds.
 3. The block's task orders them and gives out the prefixes of documents: the points where they meet.
-4. At each point all meet one of them, another one at each point; pairs whose parities leave hope are verified on whole sets.
-   That collapses large groups. Then every two of a point that aren't connected by then are compared by their parities inside
+4. The candidates whose parities leave hope are verified on whole sets. At each point all meet one of them, another one at each
+   point, and pairs that the candidates haven't connected are verified likewise. That collapses large groups. Then every two of a point that aren't connected by then are compared by their parities inside
    a task, a part of a point's documents at a time, and only pairs with hope leave it, to be verified in turn.
 """
 
@@ -318,8 +318,11 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return mapped(held.select("a", "b", "x", "y"), run, "a bigint,b bigint")
 
 
-def links(rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b), a < b: links between the documents of ``rows`` (id, t) that connect all that are similar; not every link there is."""
+def links(rows: DataFrame, words: int, similarity: float, candidates: DataFrame) -> DataFrame:
+    """(a, b), a < b: links between the documents of ``rows`` (id, t) that connect all that are similar; not every link there is.
+
+    ``candidates`` (a, b), a < b, are verified first, and what they connect isn't looked for again; they may be any pairs.
+    """
     spark = rows.sparkSession
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     bits = max(LEAST_PARTS.bit_length() - 1, math.ceil(math.log2(total / 6 / PART_SHINGLES + 1)))
@@ -350,14 +353,20 @@ def links(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     classes = sets.select("node", "n", "bits")
     star = met.select(F.col("c.node").alias("a"), F.col("node").alias("b"), F.col("c.n").alias("na"), F.col("n").alias("nb")).where("a != b").where(near)
     star = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # Similar documents share a point, so a candidate without a set is none.
+    known = written(verified(hopeful(candidates, classes, similarity), sets, similarity), "near-known")
+    group = components(known, "near-known-groups")
+    for x in ("a", "b"):
+        star = star.join(group.select(F.col("node").alias(x), F.col("root").alias(f"root{x}")).hint("merge"), x, "left")
+    star = star.where(F.coalesce("roota", "a") != F.coalesce("rootb", "b")).select("a", "b")
     tried = written(hopeful(star, classes, similarity), "near-tried")
-    edges = written(verified(tried, sets, similarity), "near-edges")
-    grouped = met.join(components(edges, "near-groups"), "node", "left").select("point", "node", "n", "short", F.coalesce("root", "node").alias("root"), "size")
+    edges = written(known.unionByName(verified(tried, sets, similarity)), "near-edges")
+    grouped = met.join(components(edges, "near-groups").hint("merge"), "node", "left").select("point", "node", "n", "short", F.coalesce("root", "node").alias("root"), "size")
     still = grouped.withColumns({"one": F.min("root").over(bucket), "other": F.max("root").over(bucket)}).where("one != other")
     homes = still.withColumn("part", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / PART)).cast("int")).select("point", "part", F.lit(False).alias("visits"), "node", "n", "short", "root")
     homes = written(homes, "near-homes")
     visits = homes.where("part > 0").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("part") - 1))).withColumn("visits", F.lit(True))
-    both = homes.unionByName(visits).join(classes.select("node", "bits"), "node")
+    both = homes.unionByName(visits).join(classes.select("node", "bits").hint("merge"), "node")
     dealt = both.repartition("point", "part").sortWithinPartitions("point", "part", "visits")
 
     def compare(batches):
@@ -366,23 +375,6 @@ def links(rows: DataFrame, words: int, similarity: float) -> DataFrame:
     cross = mapped(dealt.select("point", "part", "visits", "node", "n", "short", "root", "bits"), compare, "a bigint,b bigint").distinct()
     more = written(cross.join(tried, ["a", "b"], "left_anti"), "near-tried")
     found = written(edges.unionByName(verified(more, sets, similarity)), "near-edges")
-    for done in (met, sets, tried, edges, homes, more):
+    for done in (met, sets, known, tried, edges, homes, more):
         discard(done)
     return found
-
-
-def unique_documents(documents: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents``, all columns, without near duplicates: of each group the smallest doc_id stays (null last).
-
-    Two documents are linked when the Jaccard similarity of their sets of shingles is ``similarity`` at least; a text of fewer
-    words is one shingle; texts without words, null ones too, aren't linked; repeated rows are; an empty table gives no rows.
-    """
-    source = documents.select(F.struct("*").alias("row"), documents[text].cast("string").alias("t"), documents[doc_id].cast("long").alias("d"))
-    rows = written(source.withColumn("id", F.monotonically_increasing_id()).drop("t"), "near-rows")
-    texts = rows.select("id", F.col("row")[text].cast("string").alias("t"))
-    roots = components(links(texts, words, similarity), "near-links")
-    labelled = rows.select("id", "d").join(roots.withColumnRenamed("node", "id"), "id")
-    stays = labelled.groupBy("root").agg(F.min(F.struct(F.col("d").isNull(), "d", "id")).alias("best")).select(F.col("best.id").alias("id"))
-    gone = written(labelled.select("id").join(stays, "id", "left_anti"), "near-gone")
-    # One strategy at every size: what goes may grow with the input, so it isn't broadcast.
-    return rows.select("id", "row").join(gone.hint("merge"), "id", "left_anti").select("row.*")

@@ -18,8 +18,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablewright.llm.common import components, map_rows, written
-from tablewright.llm.near_copies import unique_documents
+from tablewright.llm import near_copies
+from tablewright.llm.common import components, discard, map_rows, written
 
 SEED = 42
 SEGMENTS = 21
@@ -107,5 +107,40 @@ def near_duplicates(documents: DataFrame, words: int = 3, most: int = MOST_BITS,
     return prints.join(of.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Beyond a few bits the embedding's grid no longer tells pairs apart; near copies of whole texts are found on shingles.
-__all__ = ["fingerprint", "fingerprints", "links", "near_duplicates", "unique_documents"]
+def candidates(documents: DataFrame, words: int, most: int = MOST_BITS, segments: int = SEGMENTS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b), a < b: doc_ids of documents with one fingerprint, or with two that ``links`` finds; at most two pairs for each document.
+
+    Every document is paired with the smallest of its fingerprint, and that with the one of the smallest fingerprint it links to.
+    """
+    prints = written(fingerprints(documents, words, doc_id, text), "simhash")
+    classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    of = lambda x: classes.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")).hint("merge")
+    near = links(classes, most, segments).groupBy("b").agg(F.min("a").alias("a")).join(of("a"), "a").join(of("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    same = prints.join(classes.hint("merge"), "fp").where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
+    out = written(near.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "simhash-pairs")
+    for done in (prints, classes):
+        discard(done)
+    return out
+
+
+def unique_documents(documents: DataFrame, words: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``documents``, all columns, without near duplicates: of each group the smallest doc_id stays (null last).
+
+    Two documents are linked when the Jaccard similarity of their sets of shingles is ``similarity`` at least; a text of fewer
+    words is one shingle; texts without words, null ones too, aren't linked; repeated rows are; an empty table gives no rows.
+    The pairs of the embedding's grid are verified first; beyond a few bits it no longer tells pairs apart, and those that it
+    can't find, ``near_copies`` finds on the shingles.
+    """
+    source = documents.select(F.struct("*").alias("row"), documents[text].cast("string").alias("t"), documents[doc_id].cast("long").alias("d"))
+    rows = written(source.withColumn("id", F.monotonically_increasing_id()).drop("t"), "near-rows")
+    texts = rows.select("id", F.col("row")[text].cast("string").alias("t"))
+    found = near_copies.links(texts, words, similarity, candidates(texts, words, doc_id="id", text="t"))
+    roots = components(found, "near-links")
+    labelled = rows.select("id", "d").join(roots.withColumnRenamed("node", "id").hint("merge"), "id")
+    stays = labelled.groupBy("root").agg(F.min(F.struct(F.col("d").isNull(), "d", "id")).alias("best")).select(F.col("best.id").alias("id"))
+    gone = written(labelled.select("id").join(stays, "id", "left_anti"), "near-gone")
+    # One strategy at every size: what goes may grow with the input, so it isn't broadcast.
+    return rows.select("id", "row").join(gone.hint("merge"), "id", "left_anti").select("row.*")
+
+
+__all__ = ["candidates", "fingerprint", "fingerprints", "links", "near_duplicates", "unique_documents"]

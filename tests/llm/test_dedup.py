@@ -198,6 +198,32 @@ def test_near_copies_at_the_limit_at_any_size(spark):
         assert left == want | {d for d, _ in more}
 
 
+def test_near_copies_come_from_the_grid_first(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(4000)]
+    texts = [" ".join(rng.choice(words, 900)) for _ in range(12)]
+    rows = list(enumerate(texts)) + [(100 + k, t.upper()) for k, t in enumerate(texts[:4])] + [(204 + k, f"{t} more") for k, t in enumerate(texts[4:8])]
+    rows += [(300, "same " * 50), (301, "same " * 40 + "end of it"), (302, ""), (303, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    prints = {d: simhash.fingerprint(t, 5) for d, t in rows}
+    far = lambda a, b: ((prints[a] ^ prints[b]) % 2**64).bit_count()
+    pairs = {tuple(r) for r in simhash.candidates(docs, 5).collect()}
+    assert {(k, 100 + k) for k in range(4)} <= pairs
+    assert {(k, 200 + k) for k in range(4, 8) if far(k, 200 + k) <= 2} <= pairs
+    assert all(a < b and far(a, b) <= 2 for a, b in pairs)
+    # Wrong candidates are dropped, and right ones taken as they come.
+    some = spark.createDataFrame([(0, 100), (1, 2), (302, 303)], "a long, b long")
+    found = {tuple(r) for r in near_copies.links(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("t")), 5, 0.8, some).collect()}
+    assert (0, 100) in found and not found & {(1, 2), (302, 303)}
+
+    given = []
+    grid, after = simhash.links, near_copies.links
+    monkeypatch.setattr(simhash, "links", lambda *args: given.append("grid") or grid(*args))
+    monkeypatch.setattr(near_copies, "links", lambda *args: given.append(args[3].count()) or after(*args))
+    assert {r.doc_id for r in simhash.unique_documents(docs).collect()} == set(range(12)) | {300, 301, 302, 303}
+    assert given == ["grid", len(pairs)]
+
+
 def test_near_copies_in_a_family_of_one_template(spark):
     """Near copies among documents that share most passages with one another all meet."""
     rng = np.random.default_rng(9)
